@@ -181,7 +181,7 @@ class Bloom:
     keys, which costs time and never changes a result.
     """
 
-    PROBES = 3
+    PROBES = 2
 
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
