@@ -100,13 +100,13 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
 class Words:
     """The words of a chunk: ``start``, ``end`` (bytes), ``doc`` (row) and 64-bit ``hash``.
 
-    ``counts`` holds the number of words of each row. Words are runs of bytes outside
-    ``SPACE``; ``lines=True`` also treats every row as a line of its own.
+    ``counts`` holds the number of words of each row and ``first`` its first word. Words
+    are runs of bytes outside ``space``; hashes see A-Z as a-z.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         n = len(data)
-        solid = ~SPACE[data]
+        solid = ~space[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.empty(n, bool)
@@ -126,10 +126,14 @@ class Words:
         self.first = first[:-1]
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
         up, down = _power_tables(n + 1)
-        values = _LOWER64[data] if lower else data.astype(np.uint64) + _U(1)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + _U(0x51ED))
+        np.cumsum(_LOWER64[data] * up[:n], out=total[1:])
+        self._total, self._down = total, down
+        self.hash = self.hash_to(self.end)
+
+    def hash_to(self, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words' bytes up to ``end``."""
+        return mix((self._total[end] - self._total[self.start]) * self._down[self.start] + _U(0x51ED))
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
