@@ -1,10 +1,64 @@
-"""Corpus pipeline: toxicity, line dedup, n-gram join, mixing, byte-level BPE."""
+"""Corpus pipeline: toxicity, line dedup, n-gram join, mixing, byte-level BPE.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir). All but the
+last return the columns of ``documents``. The caller may write each result and read it
+again for the next stage; ``run`` chains them lazily.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from planframe.llm import bpe, linededup, mixing, ngramjoin, toxicity
+from planframe.llm.common import arrow_limits
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5; the model learns from ``labels``."""
+    arrow_limits(spark)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, reject=0.5).drop("score")
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier one has; none left means it goes."""
+    arrow_limits(spark)
+    out = linededup.dedup_lines(docs)
+    left = F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0
+    kept = out.where((F.col("n_removed") == 0) | left)
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, likeness 0.8)."""
+    arrow_limits(spark)
+    kept = ngramjoin.ngram_components(docs, width=5, percent=80).where("kept").select(F.col("row").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    x = mixing.mix(docs, carry=docs.columns).where("copies > 0")
+    return x.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, lang, source, n_tokens, token_ids`` (ids as little-endian uint32)."""
+    arrow_limits(spark)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("toxicity", toxic_out),
+    ("line dedup", lines_once),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("mixing", mixed),
+    ("byte-level BPE", tokens),
+]
 
-STAGES: list = []
+#: Viterbi decoding and BPE merges are beyond SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 

@@ -255,3 +255,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("node"), "comp").unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     )
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted logistic regression by Newton steps: (mean, scale, coefficients with the constant last)."""
+    weight = weight * len(weight) / weight.sum()
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    b = np.zeros(z.shape[1])
+    keep = np.eye(len(b)) * ridge
+    keep[-1, -1] = 1e-3
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + keep, z.T @ (weight * (y - p)) - keep @ b)
+        b += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return mean, scale, b

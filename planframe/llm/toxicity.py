@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks
+from .common import Words, chunks, fit_logistic
 
 FIT_ROWS = 10_000
 BUCKETS = 1 << 20
@@ -279,21 +279,6 @@ class Model:
             out[own, TOP + 2] = np.log1p(words)
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> None:
-        """Weighted logistic regression by Newton steps."""
-        self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-        z = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
-        b = np.zeros(z.shape[1])
-        keep = np.eye(len(b)) * ridge
-        keep[-1, -1] = 1e-3
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-            step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + keep, z.T @ (weight * (y - p)) - keep @ b)
-            b += step
-            if np.abs(step).max() < 1e-8:
-                break
-        self.coef = b
-
     def score(self, column: pa.Array) -> np.ndarray:
         z = (self.features(column) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(z @ self.coef[:-1] + self.coef[-1], -30, 30)))
@@ -374,7 +359,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     y, x = got["y"].to_numpy(), np.stack(got["x"].to_numpy())
     have = got.groupby(["y", "part"]).size()
     weight = np.array([true[k] / have[k] for k in zip(got["y"], got["part"], strict=True)])
-    model.fit(x, y.astype(float), weight * len(weight) / weight.sum())
+    model.mean, model.scale, model.coef = fit_logistic(x, y.astype(float), weight)
     return model
 
 
