@@ -45,7 +45,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "planframe-checkpoints"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Spark removes the shuffle files of plans that nothing refers to when the driver collects its garbage
+    del df
+    sc._jvm.System.gc()
+    return out
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that ``df`` doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for w in wanted:
+        while f"__{w}".lower() in taken:
+            w = f"_{w}"
+        out.append(f"__{w}")
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -2,30 +2,35 @@
 
 A line is the set of its distinct words. Words are ordered by rarity over the lines of
 all documents; each line enters the lists of its first ``n - ceil(t * n) + 1`` words, so
-two lines of Jaccard likeness t or more meet in a list. Length, position and a bitmap
-of the words (differing bits are differing words) bound the overlap of a pair; what
-passes is verified word by word. Of two lines that match, the later one goes.
-
-Equal lines are one class from the start, and classes are what is joined. A class needs
-one earlier match only: first each class is tried against the earliest one that it
-meets most often, then the classes that still stand are joined with all earlier ones of
-their lists. So a list of n like lines costs n pairs, and no match is lost.
-
-Lines and words go by 64-bit hashes.
+two lines of Jaccard likeness t or more meet in a list. Length, position and a parity
+sketch of the words (bins that differ hold words of one line only) bound the overlap of
+a pair; what passes is verified word by word. Of two lines that match, the later goes.
+
+Equal lines are one class from the start, and classes are what is joined. Lists of at
+most ``SHORT_LIST`` classes are compared pair by pair where they are sorted. In longer
+ones, a class needs one earlier match only: first each is tried against the earliest one
+that it meets most often, then those that still stand are joined with all earlier ones
+of their lists. So a list of n like lines costs n pairs, and no match is lost.
+
+Scale: the lists are shuffled once and never stored; texts are shuffled only for the
+documents that lose a line. Lines and words go by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Words, checkpoint, chunks, distinct_sets, mix, segment_sum
+from .common import Bloom, Words, checkpoint, chunks, distinct_sets, free_names, mix, segment_sum
 from .ngramjoin import Order, _heavy
 
 PERCENT = 80
 LEAST_WORDS = 5
+#: Classes of a list that is compared pair by pair.
+SHORT_LIST = 64
 _U = np.uint64
 
 
@@ -43,19 +48,12 @@ class Lines:
         self.n = np.diff(self.at)
         self.sid = mix(segment_sum(mix(self.h ^ _U(0x11AE5)), self.at) + self.n.astype(np.uint64)).view(np.int64)
 
-    def bitmaps(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits of the words of each chosen line (each has a word)."""
-        bit = (self.h >> _U(57)).astype(np.uint64)
-        one = _U(1) << (bit & _U(63))
-        out = []
-        for half in (0, 1):
-            v = np.where((bit >> _U(6)) == half, one, _U(0))
-            full = np.zeros(len(self.n), np.uint64)
-            some = np.flatnonzero(self.n)
-            if len(some):
-                full[some] = np.bitwise_or.reduceat(v, self.at[some])
-            out.append(full[which].view(np.int64))
-        return out[0], out[1]
+    def sketches(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bins of each line's words: whether a bin holds an odd number of them."""
+        rows = len(self.n)
+        odd = np.bincount(self.owner * 128 + (self.h >> _U(57)).astype(np.int64), minlength=rows * 128) & 1
+        both = np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
 
 
 def _fresh(lines: Lines, least: int, seen: set[int], bound: int = 1 << 20) -> np.ndarray:
@@ -72,7 +70,7 @@ def _fresh(lines: Lines, least: int, seen: set[int], bound: int = 1 << 20) -> np
 
 
 def _facts(rows: DataFrame, least: int) -> DataFrame:
-    """(row, doc_id, line, sid, n) of every line with ``least`` distinct words or more."""
+    """(row, doc_id, line, sid) of every line with ``least`` distinct words or more."""
 
     def work(batches):
         for batch in batches:
@@ -81,11 +79,11 @@ def _facts(rows: DataFrame, least: int) -> DataFrame:
                 at = np.flatnonzero(lines.n >= least)
                 where = pa.array(lines.row[at] + first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), batch.column(1).take(where), pa.array(lines.line[at].astype(np.int32)), pa.array(lines.sid[at]), pa.array(lines.n[at].astype(np.int32))],
-                    ["row", "doc_id", "line", "sid", "n"],
+                    [batch.column(0).take(where), batch.column(1).take(where), pa.array(lines.line[at].astype(np.int32)), pa.array(lines.sid[at])],
+                    ["row", "doc_id", "line", "sid"],
                 )
 
-    return rows.mapInArrow(work, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, line int, sid long, n int")
+    return rows.mapInArrow(work, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, line int, sid long")
 
 
 def _word_counts(rows: DataFrame, least: int) -> DataFrame:
@@ -132,7 +130,7 @@ def _entries(rows: DataFrame, least: int, percent: int, order: Order, shared: Bl
                 pick = pos < n - -(-n * percent // 100) + 1
                 pick[pick] = shared.has(h[pick])
                 owner = owner[pick]
-                b1, b2 = lines.bitmaps(owner)
+                b1, b2 = (b[owner] for b in lines.sketches())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[pick].view(np.int64)), pa.array(lines.sid[owner]), pa.array(n[pick].astype(np.int32)), pa.array(pos[pick].astype(np.int32)), pa.array(b1), pa.array(b2)],
                     ["token", "sid", "n", "pos", "b1", "b2"],
@@ -161,7 +159,7 @@ def _word_sets(rows: DataFrame, least: int, wanted: Bloom) -> DataFrame:
 
 
 def _may_match(x: str, y: str, percent: int):
-    """Length, position and bitmap bounds of an overlap that gives the likeness asked for."""
+    """Length, position and sketch bounds of an overlap that gives the likeness asked for."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     most = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
     differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
@@ -169,51 +167,129 @@ def _may_match(x: str, y: str, percent: int):
     return (100 * most >= percent * (n + m - most)) & (100 * (n + m - differ) >= percent * (n + m + differ))
 
 
+def _meet(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of short lists that may match, and the entries of long lists.
+
+    Rows (token, sid, n, pos, b1, b2, other): ``other`` is the second class of a pair, and
+    null in an entry of a long list. A list's entries come one after another; at most
+    ``SHORT_LIST`` of them are held.
+    """
+    columns = ["token", "sid", "n", "pos", "b1", "b2"]
+
+    def work(batches):
+        held = [np.zeros(0, np.int64)] * 6
+        long_token = None
+
+        def rows(own, other=None):
+            n = len(own[0])
+            arrays = [pa.array(own[0]), pa.array(own[1]), pa.array(own[2].astype(np.int32)), pa.array(own[3].astype(np.int32)), pa.array(own[4]), pa.array(own[5])]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(other) if other is not None else pa.nulls(n, pa.int64())], [*columns, "other"])
+
+        def pairs(c):
+            token, sid, n, pos, b1, b2 = c
+            for d in range(1, min(SHORT_LIST, len(token))):
+                at = np.flatnonzero(token[d:] == token[:-d])
+                if not len(at):
+                    break
+                x, y = at, at + d
+                total, most = n[x] + n[y], np.minimum(n[x] - pos[x], n[y] - pos[y])
+                ok = 100 * most >= percent * (total - most)
+                x, y, total = x[ok], y[ok], total[ok]
+                differ = sum(np.bitwise_count((b[x] ^ b[y]).view(np.uint64)).astype(np.int64) for b in (b1, b2))
+                ok = 100 * (total - differ) >= percent * (total + differ)
+                if ok.any():
+                    yield rows([v[x[ok]] for v in c], sid[y[ok]])
+
+        def lists(c, last):
+            """Short lists become pairs, long ones go on; the last one may not be over."""
+            nonlocal held, long_token
+            token = c[0]
+            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+            size = np.diff(np.append(head, len(token)))
+            long = size > SHORT_LIST
+            if len(head) and token[0] == long_token:
+                long[0] = True
+            whole = np.ones(len(head), bool)
+            if len(head):
+                long_token = token[-1] if long[-1] else None
+                whole[-1] = last or long[-1]
+            of = np.repeat(np.arange(len(head)), size)
+            if (long[of]).any():
+                yield rows([v[long[of]] for v in c])
+            short = (~long & whole & (size > 1))[of]
+            if short.any():
+                yield from pairs([v[short] for v in c])
+            held = [v[~whole[of]] for v in c]
+
+        for batch in batches:
+            c = [np.concatenate([h, np.asarray(batch.column(i), np.int64)]) for i, h in enumerate(held)]
+            if len(c[0]):
+                fresh = np.ones(len(c[0]), bool)  # a class can come from several tasks
+                fresh[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
+                yield from lists([v[fresh] for v in c], False)
+        yield from lists(held, True)
+
+    dealt = entries.repartition("token").sortWithinPartitions("token", "sid")
+    return checkpoint(dealt.mapInArrow(work, "token long, sid long, n int, pos int, b1 long, b2 long, other long"))
+
+
 def _verify(pairs: DataFrame, rows: DataFrame, least: int, percent: int) -> DataFrame:
     """The (a, b) of the pairs whose word sets are alike."""
     pairs = checkpoint(pairs)
+    if pairs.isEmpty():
+        return pairs
     sets = _word_sets(rows, least, Bloom.build(pairs.select(F.explode(F.array("a", "b")))))
     common = F.size(F.array_intersect("words_a", "words_b"))
     both = pairs.join(sets.select(F.col("sid").alias("b"), F.col("words").alias("words_b")), "b").join(sets.select(F.col("sid").alias("a"), F.col("words").alias("words_a")), "a")
     return checkpoint(both.where(100 * common >= percent * (F.size("words_a") + F.size("words_b") - common)).select("a", "b"))
 
 
+def _found(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    counts = _word_counts(rows, least)
+    order = Order(*_heavy(counts))
+    shared = Bloom.build(counts.select("token"), 25)
+    return _meet(_entries(rows, least, percent, order, shared), percent)
+
+
 def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """(row, line) of all lines to remove; ``rows`` has ``row`` (unique), ``doc_id``, ``text``."""
     facts = checkpoint(_facts(rows, least_words))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
-    classes = checkpoint(facts.groupBy("sid").agg(F.min(place).alias("first")))
-
-    counts = _word_counts(rows, least_words)
-    order = Order(*_heavy(counts))
-    shared = Bloom.build(counts.select("token"), 25)
-    entries = _entries(rows, least_words, percent, order, shared).dropDuplicates(["token", "sid"])
-    lists = checkpoint(entries.join(classes, "sid").repartition("token"))
-
-    earliest = lists.groupBy("token").agg(F.min(F.struct("first", "sid", "n", "pos", "b1", "b2")).alias("x"))
-    stars = (
-        lists.alias("y")
-        .join(earliest.select("token", "x.*").alias("x"), "token")
-        .where((F.col("x.sid") != F.col("y.sid")) & _may_match("x", "y", percent))
-        .groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-        .count()
-        .groupBy("b")
-        .agg(F.max_by("a", F.struct("count", "a")).alias("a"))
-        .select("a", "b")
-    )
-    stars = checkpoint(stars)
-    gone = _verify(stars, rows, least_words, percent).select(F.col("b").alias("sid"))
-
-    standing = lists.join(gone, "sid", "left_anti")
-    rest = (
-        lists.alias("x")
-        .join(standing.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.first") < F.col("y.first")) & _may_match("x", "y", percent))
-        .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    gone = gone.unionByName(_verify(rest, rows, least_words, percent).select(F.col("b").alias("sid"))).distinct().withColumn("gone", F.lit(True))
-    judged = facts.join(classes, "sid").join(gone, "sid", "left")
+    classes = facts.groupBy("sid").agg(F.min(place).alias("first"))
+    found = _found(rows, least_words, percent)
+
+    # short lists: of each pair that matches, the later one goes
+    near = found.where("other is not null").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+    near = _verify(near, rows, least_words, percent)
+    first_a, first_b = (classes.select(F.col("sid").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    gone = checkpoint(near.join(first_a, "a").join(first_b, "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct())
+
+    # long lists: the earliest first, then all earlier ones for what still stands
+    lists = checkpoint(found.where("other is null").drop("other").join(classes, "sid"))
+    if not lists.isEmpty():
+        earliest = lists.groupBy("token").agg(F.min(F.struct("first", "sid", "n", "pos", "b1", "b2")).alias("x"))
+        stars = checkpoint(
+            lists.join(gone, "sid", "left_anti")
+            .alias("y")
+            .join(earliest.select("token", "x.*").alias("x"), "token")
+            .where((F.col("x.sid") != F.col("y.sid")) & _may_match("x", "y", percent))
+            .groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+            .count()
+            .groupBy("b")
+            .agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+            .select("a", "b")
+        )
+        gone = checkpoint(gone.unionByName(_verify(stars, rows, least_words, percent).select(F.col("b").alias("sid"))).distinct())
+        standing = lists.join(gone, "sid", "left_anti")
+        rest = (
+            lists.alias("x")
+            .join(standing.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.first") < F.col("y.first")) & _may_match("x", "y", percent))
+            .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+            .distinct()
+            .join(stars, ["a", "b"], "left_anti")
+        )
+        gone = gone.unionByName(_verify(rest, rows, least_words, percent).select(F.col("b").alias("sid"))).distinct()
+    judged = facts.join(classes, "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     return judged.where(F.col("gone").isNotNull() | (F.col("first.row") != F.col("row")) | (F.col("first.line") != F.col("line"))).select("row", "line")
 
 
@@ -226,19 +302,30 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     or not. Lines of fewer than ``least_words`` distinct words always stay. Null and empty
     texts stay as they are and have 0 lines; a document may be left with an empty text;
     repeated rows lose all such lines but the first. ``percent`` must be over 50. Other
-    columns are carried along. An empty table gives an empty result.
+    columns are carried along, but for ones named like the two new ones, which these
+    replace. An empty table gives an empty result.
     """
-    number, lines_col = "__row", "__lines"
+    number, lines_col = free_names(docs, "row", "lines")
+    docs = docs.drop("n_lines", "n_removed")
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
     rows = numbered.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    removed = repeated_lines(rows, percent, least_words).groupBy(F.col("row").alias(number)).agg(F.collect_set("line").alias(lines_col))
+    removed = checkpoint(repeated_lines(rows, percent, least_words).groupBy(F.col("row").alias(number)).agg(F.collect_set("line").alias(lines_col)))
+    touched = Bloom.build(removed.select(number))
+
+    @F.pandas_udf("boolean")
+    def may_lose(row: pd.Series) -> pd.Series:
+        return pd.Series(touched.has(row.to_numpy(np.int64)))
+
     text = F.col(text_col)
     parts = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(lines_col), i)), "\n")
-    joined = numbered.join(removed, number, "left")
     counts = {
         "n_lines": F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(parts)).cast("long"),
         "n_removed": F.coalesce(F.size(lines_col), F.lit(0)).cast("long"),
     }
     out = [F.when(F.col(lines_col).isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*out, *[e.alias(c) for c, e in counts.items()])
+    out += [e.alias(c) for c, e in counts.items()]
+    # only documents that may lose a line are shuffled
+    changed = numbered.where(may_lose(number)).join(removed, number, "left").select(*out)
+    same = numbered.where(~may_lose(number)).withColumn(lines_col, F.lit(None).cast("array<int>")).select(*out)
+    return changed.unionByName(same)

@@ -281,7 +281,10 @@ class Model:
 
     def score(self, column: pa.Array) -> np.ndarray:
         z = (self.features(column) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(z @ self.coef[:-1] + self.coef[-1], -30, 30)))
+        total = np.full(len(z), self.coef[-1])
+        for k in range(z.shape[1]):  # term by term, so a row's score doesn't depend on its batch
+            total += z[:, k] * self.coef[k]
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def fold(id: Column) -> Column:
@@ -367,8 +370,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", reject: float |
     """The input rows and ``score`` (0 to 1); with ``reject``, without the rows of that score or more.
 
     Equal texts have equal scores; null counts as empty, and empty texts have the score of
-    a text without words. Nothing but the text counts. Nothing is shuffled.
+    a text without words. Nothing but the text counts. A column that is named ``score``
+    already is replaced. Nothing is shuffled.
     """
+    docs = docs.drop("score")
     at = docs.columns.index(text_col)
 
     def work(batches):

@@ -1,0 +1,71 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import tiktoken
+from llm_helpers import DOCS, ODD, clashing, documents
+
+from planframe.llm import bpe
+from planframe.llm.common import utf8
+
+NAMES = ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"]
+
+
+def reference(path):
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+
+
+def random_texts(n):
+    random.seed(7)
+    alphabet = " \n\t\r'sdtrevlmabcé²½1٣_-<|>日本\xa0​\x1c　ßǅ🎉A"
+    return ["".join(random.choice(alphabet) for _ in range(random.randint(0, 80))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_ids_are_the_library_s(name):
+    codec, library = bpe.codec(P.path(name), P.PATTERN), reference(P.path(name))
+    texts = random_texts(600) + [t or "" for _, t in ODD] + ["a" * 5000, "ab" * 3000, "   " * 500, "it's we'll 'tis ''s", "z" * 70_000]
+    ids = codec.encode_batch(texts)
+    for text, got in zip(texts, ids, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode_ordinary(text)
+        assert codec.decode(got) == text.encode()
+
+
+def test_perfect_hash():
+    codec = bpe.codec(P.path(NAMES[0]), P.PATTERN)
+    h, strings = codec.hash, codec.strings
+    assert sorted(h.slot.tolist()) == list(range(len(strings)))  # minimal: every slot has one key
+    assert h.find(*utf8(pa.array(strings, pa.binary()))).tolist() == list(range(len(strings)))
+    absent = [b"", b"\xff\xfe\xfd\xfc", b"notinthere!", b"x" * 1000, strings[500] + b"\x00"]
+    known = set(strings)
+    assert [x >= 0 for x in h.find(*utf8(pa.array(absent, pa.binary())))] == [a in known for a in absent]
+    with pytest.raises(ValueError):
+        bpe.PerfectHash([b"a", b"a"])
+
+
+def test_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 50)
+    codec = bpe.Codec(bpe.load_ranks(P.path(NAMES[0])), P.PATTERN)
+    library = reference(P.path(NAMES[0]))
+    texts = random_texts(200)
+    for i in range(0, 200, 10):
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_batch(texts[i : i + 10])] == library.encode_ordinary_batch(texts[i : i + 10])
+
+
+def test_round_trip_query(spark):
+    docs, library = clashing(documents(spark, ODD)), reference(P.path(NAMES[0]))
+    got = bpe.round_trip(docs, P.path(NAMES[0]), P.PATTERN).collect()
+    expected = []
+    for d, t in ODD:
+        ids = library.encode_ordinary(t or "")
+        expected.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    assert bpe.round_trip(spark.createDataFrame([], DOCS), P.path(NAMES[0]), P.PATTERN).count() == 0
+
+
+def test_encode_keeps_columns(spark):
+    got = bpe.encode(documents(spark, ["a b", None]), P.path(NAMES[0]), P.PATTERN, keep=("source", "doc_id")).collect()
+    assert [(r["source"], r["doc_id"], r["n_tokens"], len(r["token_ids"])) for r in got] == [("s0", 0, 2, 8), ("s1", 1, 0, 0)]

@@ -1,0 +1,101 @@
+import random
+
+import pytest
+from llm_helpers import DOCS, ODD, clashing, documents, shingles_of
+
+from planframe.llm import ngramjoin
+
+
+def brute(texts, width, percent):
+    """Least id reachable from each document, by comparing all pairs."""
+    sets = [shingles_of(t, width) for _, t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    groups = {}
+    for i in range(len(texts)):
+        groups.setdefault(find(i), []).append(i)
+    out = []
+    for members in groups.values():
+        ids = [texts[i][0] for i in members if texts[i][0] is not None]
+        out += [(texts[i][0], len(sets[i]), min(ids, default=None)) for i in members]
+    return sorted(map(repr, out)), len(groups)
+
+
+def check(docs, texts, width=4, percent=85):
+    got = ngramjoin.ngram_components(docs, width=width, percent=percent).collect()
+    expected, groups = brute(texts, width, percent)
+    assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == expected
+    assert sum(r["kept"] for r in got) == groups
+    assert all(r["doc_id"] == r["component_id"] for r in got if r["kept"])
+
+
+def edited(words, share, rng, vocabulary):
+    return [rng.choice(vocabulary) if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("seed,size", [(1, (3, 16)), (2, (10, 40)), (3, (60, 160))])
+def test_against_all_pairs(spark, seed, size):
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    passage = [f"p{i}" for i in range(50)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(*size))]
+        for _ in range(rng.randint(1, 8)):
+            texts.append(edited(base, rng.choice([0, 0.01, 0.03, 0.06]), rng, vocabulary))
+        if rng.random() < 0.4:
+            texts.append(base + passage)
+        texts.append(base[: rng.randint(1, len(base))])
+    rng.shuffle(texts)
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    check(documents(spark, texts), texts)
+
+
+def test_chain_of_small_changes(spark):
+    """Neighbours link, ends don't: one component all the same."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(words[2 * i :] + [f"x{j}" for j in range(2 * i)])) for i in range(12)]
+    check(documents(spark, texts), texts)
+
+
+def test_hot_group_and_common_passage(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "LEAST_HEAVY", 2)
+    rng = random.Random(9)
+    base, passage, vocabulary = [f"b{i}" for i in range(80)], [f"p{i}" for i in range(60)], [f"v{i}" for i in range(5000)]
+    texts = [edited(base, 0.02, rng, vocabulary) for _ in range(60)] + [base] * 30
+    texts += [[rng.choice(vocabulary) for _ in range(40)] + passage for _ in range(50)] + [passage[:40], passage]
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    check(documents(spark, texts), texts)
+
+
+@pytest.mark.parametrize("small", [0, 6, 13, 19])
+def test_any_boundary(spark, monkeypatch, small):
+    monkeypatch.setattr(ngramjoin, "choose_boundary", lambda sizes, percent: small)
+    rng = random.Random(small)
+    texts = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 22)))) for i in range(150)]
+    base = [f"q{i}" for i in range(24)]
+    texts += [(200 + i, " ".join(base[: 6 + i % 18])) for i in range(36)]
+    check(documents(spark, texts), texts, width=2)
+
+
+def test_boundary_follows_cost():
+    assert ngramjoin.choose_boundary({5: 100}, 85) >= 5
+    assert ngramjoin.choose_boundary({20: 10**6}, 85) < 20
+    assert ngramjoin.subset_count(6, 85) == 1 and ngramjoin.subset_count(7, 85) == 8 and ngramjoin.subset_count(14, 85) == 106
+
+
+def test_odd_rows(spark):
+    check(clashing(documents(spark, ODD)), ODD)
+
+
+def test_empty_table(spark):
+    assert ngramjoin.ngram_components(spark.createDataFrame([], DOCS)).count() == 0
