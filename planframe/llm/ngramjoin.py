@@ -9,7 +9,7 @@ A document is the set of its word shingles. Two sets link when
 * Large sets scan inverted lists. A set enters the lists of its first
   ``n - ceil(percent/100 * n) + 1`` shingles in one global order, rare ones first, so
   two linked sets meet in a list; length and position bound their overlap, and pairs
-  that pass are verified on whole texts.
+  that pass, and whose parity sketches allow a link, are verified on whole texts.
 
 The boundary is where the cost of enumerating overtakes that of scanning, on the counts
 of sets of each size. Shingles that occur in one set only are in no list.
@@ -26,6 +26,7 @@ different sets of n are mistaken for one with probability below n * n / 2**65.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -47,6 +48,8 @@ LEAST_HEAVY = 32
 BLOOM_BITS = 25
 #: What verifying one candidate costs, in list entries.
 VERIFY_COST = 20
+#: Longs of a set's parity sketch.
+SKETCH = 8
 #: Largest size for which subsets are considered.
 MOST_SMALL = 24
 _U = np.uint64
@@ -78,13 +81,31 @@ class Sets:
     """Distinct shingle sets of the rows of a chunk: ``h`` by row then value, ``at`` offsets."""
 
     def __init__(self, data, offsets, width: int):
-        rows = len(offsets) - 1
+        rows = self.rows = len(offsets) - 1
         doc, h = shingles(Words(data, offsets), width)
         self.h, self.at, self.doc = distinct_sets(doc, h, rows)
         self.n = np.diff(self.at)
         self.sid = mix(segment_sum(mix(self.h ^ _U(0x5EED5E7)), self.at) + self.n.astype(np.uint64)).view(np.int64)
 
 
+    def sketches(self) -> np.ndarray:
+        """(rows x SKETCH) longs: for each of ``64 * SKETCH`` bins of hashes, whether it holds an odd number."""
+        bins = 64 * SKETCH
+        odd = np.bincount(self.doc * bins + (mix(self.h) % _U(bins)).astype(np.int64), minlength=self.rows * bins) & 1
+        return np.packbits(odd.astype(np.uint8).reshape(-1, bins), axis=1).view(np.int64)
+
+
+def _may_link(x: str, y: str, percent: int):
+    """Whether sketches allow the likeness asked for.
+
+    A bin whose parity differs holds a shingle that only one of the sets has, so the
+    differing bins are no more than the shingles outside the overlap: exact at any size.
+    """
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(SKETCH)])
+    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return 100 * (total - differ) >= percent * (total + differ)
+
+
 def _new_rows(sets: Sets, seen: set[int], bound: int = 1 << 20) -> np.ndarray:
     """Rows whose set this task has not had before (as far as a bounded memory tells)."""
     keep = np.zeros(len(sets.n), bool)
@@ -283,14 +304,19 @@ def ngram_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
     def facts(batches):
         for batch in batches:
-            n, sid = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            n, sid, sketch = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), np.zeros((len(batch), SKETCH), np.int64)
             for first, data, offsets in chunks(batch.column(2)):
                 s = Sets(data, offsets, width)
-                n[first : first + len(s.n)], sid[first : first + len(s.n)] = s.n, s.sid
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sid)], ["row", "doc_id", "n", "sid"])
+                own = slice(first, first + s.rows)
+                n[own], sid[own], sketch[own] = s.n, s.sid, s.sketches()
+            columns = [batch.column(0), batch.column(1), pa.array(n), pa.array(sid), *[pa.array(sketch[:, i]) for i in range(SKETCH)]]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "sid", *parity])
 
+    parity = [f"s{i}" for i in range(SKETCH)]
     kind = rows.schema["doc_id"].dataType.simpleString()
-    known = checkpoint(rows.mapInArrow(facts, f"row long, doc_id {kind}, n long, sid long"))
+    known = checkpoint(rows.mapInArrow(facts, f"row long, doc_id {kind}, n long, sid long, {', '.join(f'{s} long' for s in parity)}"))
+    sketches = known.where("n > 0").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", *parity)])
+    known = known.drop(*parity)
     sizes = {r["n"]: r["c"] for r in known.where(F.col("n").between(1, MOST_SMALL)).groupBy("n").agg(F.count_distinct("sid").alias("c")).collect()}
     small = choose_boundary(sizes, percent)
     least_n = least_overlap(small + 1, percent) if small else 1
@@ -305,7 +331,15 @@ def ngram_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     # each set with the one that it most often meets as the least of a list
     stars = checkpoint(_stars(entries, percent, small).groupBy("a", "b").agg(F.count("*").alias("times"), F.max("sure").alias("sure")))
     sure = stars.where("sure").select("a", "b")
-    first = stars.where("not sure").groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
+    first = (
+        stars.where("not sure")
+        .join(sketches.alias("x"), F.col("a") == F.col("x.sid"))
+        .join(sketches.alias("y"), F.col("b") == F.col("y.sid"))
+        .where(_may_link("x", "y", percent))
+        .groupBy("b")
+        .agg(F.max_by("a", F.struct("times", "a")).alias("a"))
+        .select("a", "b")
+    )
     edges = checkpoint(sure.unionByName(_verify(first, rows, width, percent)))
     comp = checkpoint(components(edges))
 
@@ -317,7 +351,7 @@ def ngram_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     )
     lists = checkpoint(lists)
     mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    open_lists = lists.join(mixed, "token")
+    open_lists = lists.join(mixed, "token").join(sketches.drop("n"), "sid")
     x, y = open_lists.alias("x"), open_lists.alias("y")
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     meet = (
@@ -325,6 +359,7 @@ def ngram_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc
         & (F.col("x.comp") < F.col("y.comp"))
         & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
         & ((F.col("x.n") > small) | (F.col("y.n") > small))
+        & _may_link("x", "y", percent)
     )
     rest = x.join(y, meet).select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
