@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import blocknames, bpe, common, fingerprint, linededup, mixing, ngramjoin, quality, tokencount, toxicity, urlfilter
+from .oracle import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,4 +70,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_line_dedup, op4_fingerprints, op5_toxicity, op6_url_filter, op7_exact_dedup, op8_token_counts, op9_byte_bpe, op10_ngram_join)}
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
