@@ -1,8 +1,9 @@
 """Corpus pipeline: toxicity, line dedup, n-gram join, mixing, byte-level BPE.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir). All but the
-last return the columns of ``documents``. The caller may write each result and read it
-again for the next stage; ``run`` chains them lazily.
+last return the columns of ``documents``. Stages read their input several times and number
+its rows, so it must not change between readings: write each result, or checkpoint it as
+``run`` does.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from planframe.llm import bpe, linededup, mixing, ngramjoin, toxicity
-from planframe.llm.common import arrow_limits
+from planframe.llm.common import arrow_limits, checkpoint
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +65,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = checkpoint(docs)
     return docs
