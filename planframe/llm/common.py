@@ -18,15 +18,6 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 19
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = _U(pow(int(_BASE), -1, 1 << 64))
-
-#: The word separators of every contract: space and the control characters 9 to 13.
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: A-Z to a-z; all other bytes stay.
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-_LOWER64 = (LOWER.astype(np.uint64) + _U(1)).astype(np.uint64)
 
 
 def arrow_limits(spark: SparkSession) -> None:
@@ -73,19 +64,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[i] = np.cumprod(table, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets into them; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,43 +89,50 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
         i = j
 
 
+#: For 0 to 8 bytes: the bits of a little-endian word that hold them.
+_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 class Words:
     """The words of a chunk: ``start``, ``end`` (bytes), ``doc`` (row) and 64-bit ``hash``.
 
     ``counts`` holds the number of words of each row and ``first`` its first word. Words
-    are runs of bytes outside ``space``; hashes see A-Z as a-z.
+    are runs of bytes outside ``space`` (by default space and 9 to 13, the separators of
+    every contract); hashes see A-Z as a-z.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray | None = None):
         n = len(data)
-        solid = ~space[data]
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        before = np.empty(n, bool)
-        if n:
-            before[0] = False
-            before[1:] = solid[:-1]
-            before &= ~edge[:-1]
-        self.start = np.flatnonzero(solid & ~before)
-        after = np.empty(n, bool)
-        if n:
-            after[-1] = False
-            after[:-1] = solid[1:]
-            after &= ~edge[1:]
-        self.end = np.flatnonzero(solid & ~after) + 1
+        solid = np.zeros(n + 2, bool)
+        # space and 9 to 13, or the table given; uint8 arithmetic wraps
+        np.logical_not((data == 32) | (data - np.uint8(9) < 5) if space is None else space[data], out=solid[1:-1])
+        turns = np.flatnonzero(solid[1:] != solid[:-1])
+        self.start, self.end = turns[::2], turns[1::2]
+        # a row's end within a run of solid bytes ends a word and begins the next
+        at = np.unique(offsets[(offsets > 0) & (offsets < n)])
+        at = at[solid[at] & solid[at + 1]]
+        if len(at):
+            self.start = np.insert(self.start, np.searchsorted(self.start, at), at)
+            self.end = np.insert(self.end, np.searchsorted(self.end, at), at)
         first = np.searchsorted(self.start, offsets)
         self.counts = np.diff(first)
         self.first = first[:-1]
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
-        up, down = _power_tables(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LOWER64[data] * up[:n], out=total[1:])
-        self._total, self._down = total, down
-        self.hash = self.hash_to(self.end)
-
-    def hash_to(self, end: np.ndarray) -> np.ndarray:
-        """Hashes of the words' bytes up to ``end``."""
-        return mix((self._total[end] - self._total[self.start]) * self._down[self.start] + _U(0x51ED))
+        low = np.zeros(n + 8, np.uint8)
+        np.add(data, (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5), out=low[:n])
+        # the eight bytes from each place on, as one number
+        self._eight = np.ndarray((n + 1,), "<u8", low, 0, (1,))
+        size = self.end - self.start
+        h = (self._eight[self.start] & _BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _BASE)
+        for k in range(8, int(size.max(initial=0)), 8):
+            more = np.flatnonzero(size > k)
+            x = h[more] * _BASE
+            h[more] = (x ^ (x >> _U(32))) ^ (self._eight[self.start[more] + k] & _BYTES[np.minimum(size[more] - k, 8)])
+        self.hash = mix(h * _BASE + _U(0x51ED))
+
+    def beginning(self, k: int) -> np.ndarray:
+        """Hashes of the words' first ``k`` bytes, 8 at most."""
+        return mix((self._eight[self.start] & _BYTES[k]) * _BASE + _U(k))
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +160,18 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct_sets(doc: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sort (row, hash) and drop repeats: hashes by row then value, with rows + 1 offsets."""
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
+    bits = max(1, int(rows).bit_length())
+    key = (doc.astype(np.uint64) << _U(64 - bits)) | (h >> _U(bits))
+    order = np.argsort(key)
+    key, doc, h = key[order], doc[order], h[order]
     if len(h):
+        same = key[1:] == key[:-1]
+        if (same & (h[1:] != h[:-1])).any():  # hashes that differ in their last bits only
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
         keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        keep[1:] = ~same
         doc, h = doc[keep], h[keep]
     return h, np.searchsorted(doc, np.arange(rows + 1)), doc
 

@@ -2,7 +2,10 @@
 
 A line is the set of its distinct words. Words are ordered by rarity over the lines of
 all documents; each line enters the lists of its first ``n - ceil(t * n) + 1`` words, so
-two lines of Jaccard likeness t or more meet in a list. Length, position and a parity
+two lines of Jaccard likeness t or more meet in a list. Frequent words would make long
+lists: they count by twos. Two such lines share two words of a prefix one longer, so a
+line enters a list for each two frequent words of that prefix, and the lists of single
+words are those of rare ones. Length, position and a parity
 sketch of the words (bins that differ hold words of one line only) bound the overlap of
 a pair; what passes is verified word by word. Of two lines that match, the later goes.
 
@@ -29,6 +32,8 @@ from .ngramjoin import Order, _heavy
 
 PERCENT = 80
 LEAST_WORDS = 5
+#: A word in more lines than this is frequent.
+FREQUENT = 256
 #: Classes of a list that is compared pair by pair.
 SHORT_LIST = 64
 _U = np.uint64
@@ -113,26 +118,44 @@ def _word_counts(rows: DataFrame, least: int) -> DataFrame:
 
 
 def _entries(rows: DataFrame, least: int, percent: int, order: Order, shared: Bloom) -> DataFrame:
-    """(token, sid, n, pos, b1, b2): the list entries of every distinct line."""
+    """(token, sid, n, pos, b1, b2): the list entries of every distinct line.
+
+    ``pos``: no word before this place of the order is shared, but for the first of two.
+    """
 
     def work(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
                 lines = Lines(data, offsets)
-                use = _fresh(lines, least, seen)
-                chosen = use[lines.owner]
+                chosen = _fresh(lines, least, seen)[lines.owner]
                 h, owner = lines.h[chosen], lines.owner[chosen]
-                by = np.lexsort((h, order.weight(h), owner))
-                h, owner = h[by], owner[by]
-                start = np.searchsorted(owner, owner)
-                pos, n = np.arange(len(h)) - start, lines.n[owner]
-                pick = pos < n - -(-n * percent // 100) + 1
-                pick[pick] = shared.has(h[pick])
-                owner = owner[pick]
-                b1, b2 = (b[owner] for b in lines.sketches())
+                weight = order.weight(h)
+                by = np.argsort((owner.astype(np.uint64) << _U(40)) | np.minimum(weight, (1 << 40) - 1).astype(np.uint64), kind="stable")
+                h, owner, weight = h[by], owner[by], weight[by]
+                n = lines.n[owner]
+                pos = np.arange(len(h)) - np.searchsorted(owner, owner)
+                common = -(-n * percent // 100)
+                frequent = (weight > FREQUENT) & (common > 1)
+                alone = (pos < n - common + 1) & ~frequent
+                alone[alone] = shared.has(h[alone])
+                token, who, place = [h[alone]], [owner[alone]], [pos[alone]]
+                # twos of frequent words, the words themselves being the last of a prefix
+                at = np.flatnonzero(frequent & (pos < n - common + 2))
+                d = 1
+                while True:
+                    two = np.flatnonzero(owner[at[d:]] == owner[at[:-d]]) if d < len(at) else at[:0]
+                    if not len(two):
+                        break
+                    x, y = at[two], at[two + d]
+                    token.append(mix(h[x] * _U(0x9FB21C651E98DF25) + h[y]))
+                    who.append(owner[x])
+                    place.append(pos[y] - 1)
+                    d += 1
+                token, who, place = np.concatenate(token), np.concatenate(who), np.concatenate(place)
+                b1, b2 = (b[who] for b in lines.sketches())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[pick].view(np.int64)), pa.array(lines.sid[owner]), pa.array(n[pick].astype(np.int32)), pa.array(pos[pick].astype(np.int32)), pa.array(b1), pa.array(b2)],
+                    [pa.array(token.view(np.int64)), pa.array(lines.sid[who]), pa.array(lines.n[who].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(b1), pa.array(b2)],
                     ["token", "sid", "n", "pos", "b1", "b2"],
                 )
 
@@ -187,11 +210,14 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
 
         def pairs(c):
             token, sid, n, pos, b1, b2 = c
-            for d in range(1, min(SHORT_LIST, len(token))):
-                at = np.flatnonzero(token[d:] == token[:-d])
+            at = np.arange(len(token) - 1)
+            for d in range(1, SHORT_LIST):
+                at = at[at < len(token) - d]
+                at = at[token[at + d] == token[at]]
                 if not len(at):
                     break
-                x, y = at, at + d
+                keep = sid[at] != sid[at + d]  # a class can come from several tasks
+                x, y = at[keep], at[keep] + d
                 total, most = n[x] + n[y], np.minimum(n[x] - pos[x], n[y] - pos[y])
                 ok = 100 * most >= percent * (total - most)
                 x, y, total = x[ok], y[ok], total[ok]
@@ -224,12 +250,10 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             c = [np.concatenate([h, np.asarray(batch.column(i), np.int64)]) for i, h in enumerate(held)]
             if len(c[0]):
-                fresh = np.ones(len(c[0]), bool)  # a class can come from several tasks
-                fresh[1:] = (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])
-                yield from lists([v[fresh] for v in c], False)
+                yield from lists(c, False)
         yield from lists(held, True)
 
-    dealt = entries.repartition("token").sortWithinPartitions("token", "sid")
+    dealt = entries.repartition("token").sortWithinPartitions("token")
     return checkpoint(dealt.mapInArrow(work, "token long, sid long, n int, pos int, b1 long, b2 long, other long"))
 
 
@@ -255,31 +279,31 @@ def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = L
     """(row, line) of all lines to remove; ``rows`` has ``row`` (unique), ``doc_id``, ``text``."""
     facts = checkpoint(_facts(rows, least_words))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
-    classes = facts.groupBy("sid").agg(F.min(place).alias("first"))
+    classes = checkpoint(facts.groupBy("sid").agg(F.min(place).alias("first")))
     found = _found(rows, least_words, percent)
 
-    # short lists: of each pair that matches, the later one goes
-    near = found.where("other is not null").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-    near = _verify(near, rows, least_words, percent)
+    # long lists: each class with the earliest one that it meets most often
+    lists = found.where("other is null").drop("other").distinct()
+    lists = checkpoint(lists.join(classes, "sid"))
+    earliest = lists.groupBy("token").agg(F.min(F.struct("first", "sid", "n", "pos", "b1", "b2")).alias("x"))
+    stars = checkpoint(
+        lists.alias("y")
+        .join(earliest.select("token", "x.*").alias("x"), "token")
+        .where((F.col("x.sid") != F.col("y.sid")) & _may_match("x", "y", percent))
+        .groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
+        .count()
+        .groupBy("b")
+        .agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+        .select("a", "b")
+    )
+    # short lists: all pairs; of two that match, the later one goes
+    pairs = found.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).unionByName(stars)
+    near = _verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, least_words, percent)
     first_a, first_b = (classes.select(F.col("sid").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
     gone = checkpoint(near.join(first_a, "a").join(first_b, "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct())
 
-    # long lists: the earliest first, then all earlier ones for what still stands
-    lists = checkpoint(found.where("other is null").drop("other").join(classes, "sid"))
+    # what still stands in a long list, with all earlier ones of the list
     if not lists.isEmpty():
-        earliest = lists.groupBy("token").agg(F.min(F.struct("first", "sid", "n", "pos", "b1", "b2")).alias("x"))
-        stars = checkpoint(
-            lists.join(gone, "sid", "left_anti")
-            .alias("y")
-            .join(earliest.select("token", "x.*").alias("x"), "token")
-            .where((F.col("x.sid") != F.col("y.sid")) & _may_match("x", "y", percent))
-            .groupBy(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"))
-            .count()
-            .groupBy("b")
-            .agg(F.max_by("a", F.struct("count", "a")).alias("a"))
-            .select("a", "b")
-        )
-        gone = checkpoint(gone.unionByName(_verify(stars, rows, least_words, percent).select(F.col("b").alias("sid"))).distinct())
         standing = lists.join(gone, "sid", "left_anti")
         rest = (
             lists.alias("x")

@@ -231,7 +231,7 @@ def word_features(data: np.ndarray, offsets: np.ndarray, restorer: Restorer):
 
     def add(words: Words, rows_of: np.ndarray):
         size = words.end - words.start
-        own = [words.hash] + [np.where(size > k, words.hash_to(np.minimum(words.start + k, words.end)) ^ _U(k), words.hash) for k in _BEGINNINGS]
+        own = [words.hash] + [np.where(size > k, words.beginning(k), words.hash) for k in _BEGINNINGS]
         rows.append(rows_of)
         forms.append(words.hash)
         buckets.append(np.stack([(h >> _U(17)).astype(np.int64) & (BUCKETS - 1) for h in own]) if len(words.hash) else np.zeros((len(own), 0), np.int64))
@@ -359,6 +359,9 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     kind = rows.schema["id"].dataType.simpleString()
     got = (rows if empty else rows.where("part = 1")).mapInArrow(describe, f"id {kind}, y int, part int, x array<double>").toPandas().sort_values("id")
+    if got["y"].nunique() < 2:  # labelled rows without their documents
+        model.coef[-1] = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+        return model
     y, x = got["y"].to_numpy(), np.stack(got["x"].to_numpy())
     have = got.groupby(["y", "part"]).size()
     weight = np.array([true[k] / have[k] for k in zip(got["y"], got["part"], strict=True)])
