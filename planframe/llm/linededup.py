@@ -10,8 +10,8 @@ sketch of the words (bins that differ hold words of one line only) bound the ove
 a pair; what passes is verified word by word. Of two lines that match, the later goes.
 
 Equal lines are one class from the start, and classes are what is joined. Lists of at
-most ``SHORT_LIST`` classes are compared pair by pair where they are sorted. In longer
-ones, a class needs one earlier match only: first each is tried against the earliest one
+most ``SHORT_LIST`` entries are compared pair by pair where they are sorted, unless too
+many pairs pass. In the others, a class needs one earlier match only: first each is tried against the earliest one
 that it meets most often, then those that still stand are joined with all earlier ones
 of their lists. So a list of n like lines costs n pairs, and no match is lost.
 
@@ -33,9 +33,10 @@ from .ngramjoin import Order, _heavy
 PERCENT = 80
 LEAST_WORDS = 5
 #: A word in more lines than this is frequent.
-FREQUENT = 256
-#: Classes of a list that is compared pair by pair.
-SHORT_LIST = 64
+FREQUENT = 4096
+#: Entries of a list that is compared pair by pair where it is sorted, and pairs for each of
+#: them that may pass there; a list with more of either goes the way of long ones.
+SHORT_LIST, MOST_PAIRS = 512, 8
 _U = np.uint64
 
 
@@ -209,22 +210,39 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([*arrays, pa.array(other) if other is not None else pa.nulls(n, pa.int64())], [*columns, "other"])
 
         def pairs(c):
+            """Pairs of short lists; entries of those with too many."""
+            by = np.lexsort((c[2], c[0]))
+            c = [v[by] for v in c]
             token, sid, n, pos, b1, b2 = c
+            head = np.concatenate([[True], token[1:] != token[:-1]])
+            of = np.cumsum(head) - 1
+            size = np.bincount(of)
+            passed = np.zeros(len(size), np.int64)
+            out = []
             at = np.arange(len(token) - 1)
             for d in range(1, SHORT_LIST):
                 at = at[at < len(token) - d]
-                at = at[token[at + d] == token[at]]
+                # sizes rise along a list: what is too long now stays so
+                at = at[(token[at + d] == token[at]) & (percent * n[at + d] <= 100 * n[at]) & (passed[of[at]] <= MOST_PAIRS * size[of[at]])]
                 if not len(at):
                     break
-                keep = sid[at] != sid[at + d]  # a class can come from several tasks
-                x, y = at[keep], at[keep] + d
+                x, y = at, at + d
                 total, most = n[x] + n[y], np.minimum(n[x] - pos[x], n[y] - pos[y])
-                ok = 100 * most >= percent * (total - most)
+                ok = (100 * most >= percent * (total - most)) & (sid[x] != sid[y])  # a class can come from several tasks
                 x, y, total = x[ok], y[ok], total[ok]
                 differ = sum(np.bitwise_count((b[x] ^ b[y]).view(np.uint64)).astype(np.int64) for b in (b1, b2))
                 ok = 100 * (total - differ) >= percent * (total + differ)
                 if ok.any():
-                    yield rows([v[x[ok]] for v in c], sid[y[ok]])
+                    out.append((x[ok], y[ok]))
+                    passed += np.bincount(of[x[ok]], minlength=len(size))
+            crowded = (passed > MOST_PAIRS * size)[of]
+            if crowded.any():
+                yield rows([v[crowded] for v in c])
+            if out:
+                x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+                fine = ~crowded[x]
+                if fine.any():
+                    yield rows([v[x[fine]] for v in c], sid[y[fine]])
 
         def lists(c, last):
             """Short lists become pairs, long ones go on; the last one may not be over."""
@@ -344,7 +362,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     parts = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(lines_col), i)), "\n")
     counts = {
-        "n_lines": F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.size(parts)).cast("long"),
+        "n_lines": F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_removed": F.coalesce(F.size(lines_col), F.lit(0)).cast("long"),
     }
     out = [F.when(F.col(lines_col).isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
