@@ -171,7 +171,10 @@ def _heavy(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(docs: DataFrame, width: int, percent: int, order: Order, shared: Bloom, small: int, least_n: int) -> DataFrame:
-    """Entries (token, size, sid, n, pos): ``size`` 0 for lists, a subset's size otherwise."""
+    """Entries (token, size, sid, n, pos, prev): ``size`` 0 for lists, a subset's size otherwise.
+
+    ``prev`` is the token of the set's entry before this one, 0 for its first.
+    """
 
     def work(batches):
         seen: set[int] = set()
@@ -191,6 +194,8 @@ def _entries(docs: DataFrame, width: int, percent: int, order: Order, shared: Bl
                 pick[pick] = shared.has(h[pick])
                 token, sid, n, pos = h[pick].view(np.int64), s.sid[doc[pick]], n[pick], pos[pick]
                 size = np.zeros(len(token), np.int32)
+                prev = np.zeros(len(token), np.int64)
+                prev[1:] = np.where(sid[1:] == sid[:-1], token[:-1], 0)
                 # subsets of small sets
                 extra: list[tuple[int, int, int, int]] = []
                 for i in np.flatnonzero(use & (s.n <= small)).tolist():
@@ -205,12 +210,13 @@ def _entries(docs: DataFrame, width: int, percent: int, order: Order, shared: Bl
                     e = np.array(extra, np.int64)
                     token, size = np.concatenate([token, e[:, 0]]), np.concatenate([size, e[:, 1].astype(np.int32)])
                     sid, n, pos = np.concatenate([sid, e[:, 2]]), np.concatenate([n, e[:, 3]]), np.concatenate([pos, np.zeros(len(e), np.int64)])
+                    prev = np.concatenate([prev, np.zeros(len(e), np.int64)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token), pa.array(size), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))],
-                    ["token", "size", "sid", "n", "pos"],
+                    [pa.array(token), pa.array(size), pa.array(sid), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(prev)],
+                    ["token", "size", "sid", "n", "pos", "prev"],
                 )
 
-    return docs.select("text").mapInArrow(work, "token long, size int, sid long, n int, pos int")
+    return docs.select("text").mapInArrow(work, "token long, size int, sid long, n int, pos int, prev long")
 
 
 def _stars(entries: DataFrame, percent: int, small: int) -> DataFrame:
@@ -237,7 +243,7 @@ def _stars(entries: DataFrame, percent: int, small: int) -> DataFrame:
             ok = (a != b) & (100 * most >= percent * (na + nb - most)) & ((size > 0) | (nb > small))
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(size[ok] > 0)], ["a", "b", "sure"])
 
-    dealt = entries.repartition("token").sortWithinPartitions("token", "size", "n", "sid")
+    dealt = entries.drop("prev").repartition("token").sortWithinPartitions("token", "size", "n", "sid")
     return dealt.mapInArrow(work, "a long, b long, sure boolean")
 
 
@@ -347,7 +353,7 @@ def ngram_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     lists = (
         entries.where("size = 0")
         .join(comp.select(F.col("node").alias("sid"), "comp"), "sid", "left")
-        .select("token", "sid", "n", "pos", F.coalesce("comp", "sid").alias("comp"))
+        .select("token", "sid", "n", "pos", "prev", F.coalesce("comp", "sid").alias("comp"))
     )
     lists = checkpoint(lists)
     mixed = lists.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
@@ -357,6 +363,8 @@ def ngram_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     meet = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.comp") < F.col("y.comp"))
+        # with one entry before this in common they meet there already; at their first shared one they have none
+        & ((F.col("x.prev") != F.col("y.prev")) | (F.col("x.prev") == 0))
         & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most))
         & ((F.col("x.n") > small) | (F.col("y.n") > small))
         & _may_link("x", "y", percent)
