@@ -275,12 +275,8 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
     return checkpoint(dealt.mapInArrow(work, "token long, sid long, n int, pos int, b1 long, b2 long, other long"))
 
 
-def _verify(pairs: DataFrame, rows: DataFrame, least: int, percent: int) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of the pairs whose word sets are alike."""
-    pairs = checkpoint(pairs)
-    if pairs.isEmpty():
-        return pairs
-    sets = _word_sets(rows, least, Bloom.build(pairs.select(F.explode(F.array("a", "b")))))
     common = F.size(F.array_intersect("words_a", "words_b"))
     both = pairs.join(sets.select(F.col("sid").alias("b"), F.col("words").alias("words_b")), "b").join(sets.select(F.col("sid").alias("a"), F.col("words").alias("words_a")), "a")
     return checkpoint(both.where(100 * common >= percent * (F.size("words_a") + F.size("words_b") - common)).select("a", "b"))
@@ -316,7 +312,11 @@ def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = L
     )
     # short lists: all pairs; of two that match, the later one goes
     pairs = found.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).unionByName(stars)
-    near = _verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, least_words, percent)
+    pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # one reading of the texts gives the words of all lines that may be compared
+    wanted = Bloom.build(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(lists.select("sid")))
+    sets = checkpoint(_word_sets(rows, least_words, wanted))
+    near = _alike(pairs, sets, percent)
     first_a, first_b = (classes.select(F.col("sid").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
     gone = checkpoint(near.join(first_a, "a").join(first_b, "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct())
 
@@ -330,7 +330,7 @@ def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = L
             .distinct()
             .join(stars, ["a", "b"], "left_anti")
         )
-        gone = gone.unionByName(_verify(rest, rows, least_words, percent).select(F.col("b").alias("sid"))).distinct()
+        gone = gone.unionByName(_alike(rest, sets, percent).select(F.col("b").alias("sid"))).distinct()
     judged = facts.join(classes, "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
     return judged.where(F.col("gone").isNotNull() | (F.col("first.row") != F.col("row")) | (F.col("first.line") != F.col("line"))).select("row", "line")
 
