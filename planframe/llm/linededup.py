@@ -9,7 +9,8 @@ words are those of rare ones. Length, position and a parity
 sketch of the words (bins that differ hold words of one line only) bound the overlap of
 a pair; what passes is verified word by word. Of two lines that match, the later goes.
 
-Equal lines are one class from the start, and classes are what is joined. Lists of at
+Equal lines are one class from the start, and classes are what is joined; those of so few
+words that only equal lines are alike enter no list. Lists of at
 most ``SHORT_LIST`` entries are compared pair by pair where they are sorted, unless too
 many pairs pass. In the others, a class needs one earlier match only: first each is tried against the earliest one
 that it meets most often, then those that still stand are joined with all earlier ones
@@ -282,6 +283,11 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checkpoint(both.where(100 * common >= percent * (F.size("words_a") + F.size("words_b") - common)).select("a", "b"))
 
 
+def _least_joined(percent: int) -> int:
+    """Sets of fewer words are like equal ones only: one word more or less is too much."""
+    return -(-percent // max(1, 100 - percent))
+
+
 def _found(rows: DataFrame, least: int, percent: int) -> DataFrame:
     counts = _word_counts(rows, least)
     order = Order(*_heavy(counts))
@@ -292,9 +298,10 @@ def _found(rows: DataFrame, least: int, percent: int) -> DataFrame:
 def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
     """(row, line) of all lines to remove; ``rows`` has ``row`` (unique), ``doc_id``, ``text``."""
     facts = checkpoint(_facts(rows, least_words))
+    joined = max(least_words, _least_joined(percent))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
     classes = checkpoint(facts.groupBy("sid").agg(F.min(place).alias("first")))
-    found = _found(rows, least_words, percent)
+    found = _found(rows, joined, percent)
 
     # long lists: each class with the earliest one that it meets most often
     lists = found.where("other is null").drop("other").distinct()
@@ -315,7 +322,7 @@ def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = L
     pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # one reading of the texts gives the words of all lines that may be compared
     wanted = Bloom.build(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(lists.select("sid")))
-    sets = checkpoint(_word_sets(rows, least_words, wanted))
+    sets = checkpoint(_word_sets(rows, joined, wanted))
     near = _alike(pairs, sets, percent)
     first_a, first_b = (classes.select(F.col("sid").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
     gone = checkpoint(near.join(first_a, "a").join(first_b, "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct())

@@ -139,6 +139,7 @@ from pages2 join h5 using (host) left join fits using (page_id)"""
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": _mix_sql(),
     "op3_line_dedup": _line_sql(),
+    "op3_line_dedup_all": _line_sql().replace("len(s) >= 5", "len(s) >= 1"),
     "op6_url_filter": _url_sql(),
     "op7_exact_dedup": """
 select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size, doc_id = max(doc_id) over t as kept, sha256(coalesce(text, '')) as text_sha256

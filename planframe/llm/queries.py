@@ -30,6 +30,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=1)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -69,5 +73,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_quality, op3_line_dedup, op4_fingerprints, op5_toxicity, op6_url_filter, op7_exact_dedup, op8_token_counts, op9_byte_bpe, op10_ngram_join)}
+#: Beside the ten: line dedup of every line that has a word.
+MORE_QUERIES = {f.__name__: f for f in (op3_line_dedup_all,)}
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["MORE_QUERIES", "ORACLE_SQL", "QUERIES"]

@@ -1,9 +1,11 @@
+import os
 import random
 
+import duckdb
 import pytest
 from llm_helpers import DOCS, ODD, clashing, documents, words_of
 
-from planframe.llm import linededup
+from planframe.llm import linededup, queries
 
 
 def brute(texts, percent=80, least=5):
@@ -90,3 +92,31 @@ def test_other_columns_stay(spark):
 
 def test_empty_table(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_short_lines_go_too(spark):
+    """With ``least_words=1``: equal lines of 1 to 3 words, and 4 words against 5."""
+    texts = [(1, "All rights reserved.\nhome\na b c d e\na b"), (2, "x\nall RIGHTS reserved.\nHome\na b c d\na b c"), (3, "d c b a\n\nb a")]
+    got = {r["doc_id"]: r["text"] for r in check(documents(spark, texts), texts, least_words=1)}
+    assert got == {1: texts[0][1], 2: "x\na b c", 3: ""}
+
+
+def test_lines_like_equal_ones_only_enter_no_list(spark):
+    assert [linededup._least_joined(p) for p in (51, 70, 80, 90)] == [2, 3, 4, 9]
+    rows = spark.createDataFrame([(i, i, f"a b c\nc {i}\na b c d\na b c d {'e' * (i + 1)}") for i in range(4)], "row long, doc_id long, text string")
+    least = linededup._least_joined(80)
+    order = linededup.Order(*linededup._heavy(linededup._word_counts(rows, 1)))
+    shared = linededup.Bloom.build(linededup._word_counts(rows, 1).select("token"), 25)
+    assert {r["n"] for r in linededup._entries(rows, least, 80, order, shared).select("n").collect()} == {4, 5}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_all_lines_query_against_its_sql(spark):
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    columns = ["doc_id", "text", "n_lines", "n_removed"]
+    got = sorted(map(tuple, queries.MORE_QUERIES["op3_line_dedup_all"](spark, d).select(columns).collect()))
+    assert got == sorted(con.execute(f"select {', '.join(columns)} from ({queries.ORACLE_SQL['op3_line_dedup_all']})").fetchall())
+    bounded = queries.QUERIES["op3_line_dedup"](spark, d).agg({"n_removed": "sum"}).first()[0]
+    assert sum(r[3] for r in got) > bounded
