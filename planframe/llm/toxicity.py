@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Words that look disguised (symbols or digits before letters, letters repeated three
-times or more, letters set apart) are turned into a lattice of what they may stand for.
+Words that may be disguised (a symbol or digit that can stand for a letter beside another
+or a letter, doubled letters, letters set apart) are turned into a lattice of what they may stand for.
 The best path under a character language model, counted over all documents, is the
 restored word: an exact Viterbi search over the last three characters. Then the restored
 text is scored: each word has a weight by its form and its beginnings, learned from
@@ -50,7 +50,7 @@ LEET = {
 }
 SEPARATORS = ".-_*"
 
-#: Characters of the language model: boundary, a-z, any other letter byte, anything else.
+#: Characters of the language model: boundary, a-z, any other letter, anything else.
 LETTERS = 29
 _OTHER_LETTER, _OTHER = 27, 28
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -69,9 +69,15 @@ _IS_SEPARATOR[[ord(c) for c in SEPARATORS]] = True
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _GAP[128:] = False
+#: Never part of a word at its ends.
+_AROUND = ".,;:?\"'*#%&-_/\\[]{}<>=~^`)"
 _APART = re.compile(r"[A-Za-z0-9@$!|+(](?:[.\-_*][A-Za-z0-9@$!|+(]){3,}")
 
 
+def _first_bytes(data: np.ndarray) -> np.ndarray:
+    return (data & 0xC0) != 0x80
+
+
 def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of all runs of four characters over all documents, as a (29, 29, 29, 29) array."""
 
@@ -79,6 +85,8 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(LETTERS**4, np.int64)
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
+                first = _first_bytes(data)  # a character of several bytes counts once
+                offsets, data = np.concatenate([[0], np.cumsum(first)])[offsets], data[first]
                 c = np.zeros(len(data) + 3 * len(offsets), np.int64)
                 # three boundaries before each text and after the last one
                 c[np.arange(len(data)) + 3 * np.repeat(np.arange(1, len(offsets)), np.diff(offsets))] = _CLASS[data]
@@ -108,9 +116,10 @@ class Restorer:
             p = (c + 4.0 * p) / (c.sum(axis=-1, keepdims=True) + 4.0)
         self.logp = np.log(p).astype(np.float32)
         self.memo: dict[str, str] = {}
+        self._flat: list[float] | None = None
 
     def __getstate__(self):
-        return {"logp": self.logp, "memo": {}}
+        return {"logp": self.logp, "memo": {}, "_flat": None}
 
     @staticmethod
     def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -141,64 +150,91 @@ class Restorer:
         return found
 
     def _search(self, word: str) -> str:
-        logp = self.logp
-        # best way to each state (the last three characters): weight, way back
-        states: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
+        if self._flat is None:
+            self._flat = self.logp.ravel().tolist()
+        logp = self._flat
+        # best way to each state (the last three characters, as one number): weight, way back
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         for options in self.lattice(word):
-            after: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
+            after: dict[int, tuple[float, tuple | None]] = {}
+            coded = [(text, w, [self._class(c) for c in text]) for text, w in options]
             for state, (weight, way) in states.items():
-                for text, w in options:
+                for text, w, classes in coded:
                     s, total = state, weight + w
-                    for c in text:
-                        k = self._class(c)
-                        total += float(logp[s][k])
-                        s = (s[1], s[2], k)
+                    for k in classes:
+                        s = s * LETTERS + k
+                        total += logp[s]
+                        s %= LETTERS**3
                     if s not in after or total > after[s][0]:
                         after[s] = (total, (text, way))
             states = after
-        _, way = max((weight + float(logp[s][0]), way) for s, (weight, way) in states.items())
+        _, way = max((weight + logp[s * LETTERS], way) for s, (weight, way) in states.items())
         parts = []
         while way is not None:
             parts.append(way[0])
             way = way[1]
         return "".join(reversed(parts))
 
+    @staticmethod
+    def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bytes where a character begins that makes its word one to decode, by what comes after it.
+
+        A leet character beside a letter or another one, or a letter twice. Characters are
+        code points; those over 127 count as letters.
+        """
+        at = np.flatnonzero(_first_bytes(data))
+        mark = np.zeros(len(data), bool)
+        if len(at) < 2:
+            return mark
+        low = np.zeros(len(data) + 4, np.uint8)
+        low[: len(data)] = data
+        low[: len(data)][_IS_LETTER[data]] |= 0x20
+        size = np.diff(np.append(at, len(data)))
+        code = np.ndarray((len(data) + 1,), "<u4", low, 0, (1,))[at] & np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)[size]
+        letter, leet = _IS_LETTER[data[at]] | (data[at] >= 128), _IS_LEET[data[at]]
+        x, y = slice(None, -1), slice(1, None)
+        two = (leet[x] & (letter | leet)[y]) | (letter[x] & leet[y]) | (letter[x] & (code[x] == code[y]))
+        # not from one row into the next
+        inner = offsets[(offsets > 0) & (offsets < len(data))]
+        two[np.searchsorted(at, inner) - 1] = False
+        mark[at[x][two]] = True
+        return mark
+
     def undisguise(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, str]]]:
         """The chunk with disguised words blanked, and (row, restored word) for each of them."""
-        n = len(data)
         words = Words(data, offsets)
         if not len(words.start):
             return data, []
-        letter, leet = _IS_LETTER[data], _IS_LEET[data]
-        mark = np.zeros(n, np.int64)
-        if n > 1:
-            mark[:-1] |= leet[:-1] & letter[1:]
-        if n > 2:
-            low = data | 0x20
-            mark[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[:-2] == low[2:])
-        sums = np.zeros((3, n + 1), np.int64)
-        np.cumsum(mark, out=sums[0, 1:])
-        np.cumsum(letter, out=sums[1, 1:])
+        sums = np.zeros((3, len(data) + 1), np.int64)
+        np.cumsum(self._marks(data, offsets), out=sums[0, 1:])
+        np.cumsum(_IS_LETTER[data], out=sums[1, 1:])
         np.cumsum(_IS_SEPARATOR[data], out=sums[2, 1:])
         marks, letters, gaps = sums[:, words.end] - sums[:, words.start]
-        spans = [(s, e, False) for s, e in self._spaced(data, words)]
-        alone = np.flatnonzero(((marks > 0) & (letters >= 2)) | ((gaps >= 3) & (letters >= 3)))
-        spans += [(int(words.start[i]), int(words.end[i]), True) for i in alone]
-        if not spans:
-            return data, []
-        data = data.copy()
         restored = []
-        for s, e, one in spans:
+        blank = np.zeros(len(data) + 1, np.int64)
+        for s, e in self._spaced(data, words):
             raw = data[s:e].tobytes().decode("utf-8", "replace")
-            if one:
-                raw = raw.strip(".,;:?\"'*#%&-_/\\[]{}<>=~^`)").rstrip("!$@|+(")
-                if gap := _APART.fullmatch(raw):
-                    raw = re.sub(r"[.\-_*]", "", gap[0])
-            else:
-                raw = "".join(raw.split())
-            if raw:
-                restored.append((int(np.searchsorted(offsets, s, "right")) - 1, self.restore(raw)))
-                data[s:e] = 0x20
+            restored.append((int(np.searchsorted(offsets, s, "right")) - 1, self.restore("".join(raw.split()))))
+            blank[s] += 1
+            blank[e] -= 1
+        # each distinct word of the chunk is decoded once
+        alone = np.flatnonzero((marks > 0) | ((gaps >= 3) & (letters >= 3)))
+        _, once, of = np.unique(words.hash[alone], return_index=True, return_inverse=True)
+        found = []
+        for i in alone[once].tolist():
+            raw = data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace").lower()
+            bare = own = raw.strip(_AROUND)
+            if gap := _APART.fullmatch(bare):
+                bare = re.sub(r"[.\-_*]", "", gap[0])
+            new = self.restore(bare)
+            found.append(new if new != own else None)
+        changed = np.array([w is not None for w in found], bool)[of] if found else np.zeros(0, bool)
+        at = alone[changed]
+        np.add.at(blank, words.start[at], 1)
+        np.add.at(blank, words.end[at], -1)
+        restored += zip(words.doc[at].tolist(), (found[i] for i in of[changed].tolist()), strict=True)
+        if restored:
+            data = np.where(np.cumsum(blank)[:-1] > 0, np.uint8(0x20), data)
         return data, restored
 
     @staticmethod

@@ -73,6 +73,25 @@ def test_disguised_insults_are_found(trained):
         assert scores(model, clean + " " + text)[0] >= 0.5 > plain
 
 
+@pytest.mark.parametrize("insult", ["1d107", "idio7", "$7up1d", "7r4$h", "10$3r", "idi000t", "l0sss", "iidiiot", "mmoron", "tr4$$h"])
+def test_disguises_of_any_place(insult):
+    """Substitutes with no letter after them, few letters left, letters doubled only."""
+    assert Restorer._marks(np.frombuffer(insult.encode(), np.uint8), np.array([0, len(insult)])).any()
+
+
+def test_more_disguised_insults_are_found(trained):
+    model, clean = trained[2], " ".join(PLAIN)
+    for text in ("1d107 7r4$h", "idio7 and m0r0nn", "iidiiot and ttrash", "IIDIOT $7UP1D"):
+        assert scores(model, clean + " " + text)[0] >= 0.5
+
+
+def test_repeated_letters_are_code_points(trained):
+    raw = "un imb\u00e9\u00e9\u00e9cile".encode()
+    assert Restorer._marks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).sum() == 2
+    # rows that meet without a space don't mark each other's words
+    assert not Restorer._marks(np.frombuffer(b"x-aa-x", np.uint8), np.array([0, 3, 6])).any()
+
+
 def test_clean_numbers_are_left_alone(trained):
     assert (scores(trained[2], "call 555 6268 or write to a1b2@mail.example on 3/4/2020 at 173.33.203.46", "model x100 costs $40 and 3rd class", "a b c d e f g h") < 0.5).all()
 
