@@ -1,9 +1,11 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Words that may be disguised (a symbol or digit that can stand for a letter beside another
-or a letter, doubled letters, letters set apart) are turned into a lattice of what they may stand for.
+or a letter, doubled letters) and runs of short pieces between spaces or separators, which
+may be one word set apart, are turned into a lattice of what they may stand for.
 The best path under a character language model, counted over all documents, is the
-restored word: an exact Viterbi search over the last three characters. Then the restored
+restored text: an exact Viterbi search over the last three characters, which also decides
+what gaps between pieces go and where words begin. Then the restored
 text is scored: each word has a weight by its form and its beginnings, learned from
 labelled documents, and a logistic model turns a document's strongest words into a
 score in [0, 1].
@@ -17,6 +19,7 @@ the id. Scoring is one pass without a shuffle.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from math import log
 
 import numpy as np
@@ -63,15 +66,23 @@ _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _IS_LEET = np.zeros(256, bool)
 _IS_LEET[[ord(c) for c in LEET]] = True
-_IS_SEPARATOR = np.zeros(256, bool)
-_IS_SEPARATOR[[ord(c) for c in SEPARATORS]] = True
 #: For features, words are runs of letters, digits and bytes over 127.
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _GAP[128:] = False
 #: Never part of a word at its ends.
 _AROUND = ".,;:?\"'*#%&-_/\\[]{}<>=~^`)"
-_APART = re.compile(r"[A-Za-z0-9@$!|+(](?:[.\-_*][A-Za-z0-9@$!|+(]){3,}")
+#: What pieces are made of; between them, gaps of white space and separators may be a disguise.
+_BETWEEN = np.ones(256, bool)
+_BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *map(ord, LEET)]] = False
+_BETWEEN[128:] = False
+_FIRM = np.ones(256, bool)
+_FIRM[[0x20, *range(9, 14), *map(ord, SEPARATORS)]] = False
+_RUN = re.compile(r"[ \t-\r.\-_*]+|(.)\1*", re.S)
+#: Characters of a short piece, gaps of a long run, and log weights of a gap that stays and one that goes.
+SHORT = 4
+LONG_RUN = 24
+STAYS, GOES = log(0.95), log(0.05)
 
 
 def _first_bytes(data: np.ndarray) -> np.ndarray:
@@ -103,6 +114,21 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out.reshape((LETTERS,) * 4)
 
 
+@lru_cache(1 << 14)
+def _options(run: str) -> list[tuple[str, float, list[int]]]:
+    """What a run of equal characters, or a gap, may stand for: text, log weight, classes."""
+    c, n = run[0], len(run)
+    if c in SEPARATORS or c in " \t\n\v\f\r":
+        out = [(run, STAYS), ("", GOES)]
+    else:
+        out = stands = [(c, log(0.4))] + [(x, log(0.6 / len(LEET[c]))) for x in LEET[c]] if c in LEET else [(c, 0.0)]
+        if n == 2:
+            out = [(x * 2, w) for x, w in stands] + [(x, w + log(0.05)) for x, w in stands]
+        elif n > 2:
+            out = [(x, w + log(0.5)) for x, w in stands] + [(x * 2, w + log(0.4)) for x, w in stands] + [(c * n, log(0.1))]
+    return [(text, w, [Restorer._class(x) for x in text]) for text, w in out]
+
+
 class Restorer:
     """Viterbi decoding of a disguised word under the character language model."""
 
@@ -123,18 +149,8 @@ class Restorer:
 
     @staticmethod
     def lattice(word: str) -> list[list[tuple[str, float]]]:
-        """For each run of equal characters: the strings that it may stand for, with log weights."""
-        out = []
-        for run in re.finditer(r"(.)\1*", word.lower(), re.S):
-            c, n = run[1], len(run[0])
-            stands = [(c, log(0.4))] + [(x, log(0.6 / len(LEET[c]))) for x in LEET[c]] if c in LEET else [(c, 0.0)]
-            if n == 1:
-                out.append(stands)
-            elif n == 2:
-                out.append([(x * 2, w) for x, w in stands] + [(x, w + log(0.05)) for x, w in stands])
-            else:
-                out.append([(x, w + log(0.5)) for x, w in stands] + [(x * 2, w + log(0.4)) for x, w in stands] + [(c * n, log(0.1))])
-        return out
+        """For each run of equal characters, and each gap: the strings that it may stand for, with log weights."""
+        return [[(text, w) for text, w, _ in _options(run[0])] for run in _RUN.finditer(word.lower())]
 
     @staticmethod
     def _class(c: str) -> int:
@@ -155,11 +171,21 @@ class Restorer:
         logp = self._flat
         # best way to each state (the last three characters, as one number): weight, way back
         states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-        for options in self.lattice(word):
+        for run in _RUN.finditer(word.lower()):
             after: dict[int, tuple[float, tuple | None]] = {}
-            coded = [(text, w, [self._class(c) for c in text]) for text, w in options]
+            options = _options(run[0])
+            if len(options) == 1 and len(options[0][2]) == 1:  # most characters
+                text, w, (k,) = options[0]
+                for state, (weight, way) in states.items():
+                    s = state * LETTERS + k
+                    total = weight + w + logp[s]
+                    s %= LETTERS**3
+                    if s not in after or total > after[s][0]:
+                        after[s] = (total, (text, way))
+                states = after
+                continue
             for state, (weight, way) in states.items():
-                for text, w, classes in coded:
+                for text, w, classes in options:
                     s, total = state, weight + w
                     for k in classes:
                         s = s * LETTERS + k
@@ -201,59 +227,103 @@ class Restorer:
         return mark
 
     def undisguise(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, str]]]:
-        """The chunk with disguised words blanked, and (row, restored word) for each of them."""
+        """The chunk with disguised words blanked, and (row, restored text) for each of them."""
+        spans, marks = [], self._marks(data, offsets)
+        for row, s, e in zip(*self._spans(data, offsets, marks), strict=True):
+            raw = data[s:e].tobytes().decode("utf-8", "replace").lower()
+            if (new := self.restore(raw)) != raw:
+                spans.append((row, s, e, new))
+        restored = [(row, new) for row, _, _, new in spans]
+        if spans:
+            data = self._blanked(data, np.array([s for _, s, _, _ in spans]), np.array([e for _, _, e, _ in spans]))
         words = Words(data, offsets)
         if not len(words.start):
-            return data, []
-        sums = np.zeros((3, len(data) + 1), np.int64)
-        np.cumsum(self._marks(data, offsets), out=sums[0, 1:])
-        np.cumsum(_IS_LETTER[data], out=sums[1, 1:])
-        np.cumsum(_IS_SEPARATOR[data], out=sums[2, 1:])
-        marks, letters, gaps = sums[:, words.end] - sums[:, words.start]
-        restored = []
-        blank = np.zeros(len(data) + 1, np.int64)
-        for s, e in self._spaced(data, words):
-            raw = data[s:e].tobytes().decode("utf-8", "replace")
-            restored.append((int(np.searchsorted(offsets, s, "right")) - 1, self.restore("".join(raw.split()))))
-            blank[s] += 1
-            blank[e] -= 1
+            return data, restored
         # each distinct word of the chunk is decoded once
-        alone = np.flatnonzero((marks > 0) | ((gaps >= 3) & (letters >= 3)))
+        marks = np.concatenate([[0], np.cumsum(marks & (data != 0x20))])  # none of what is blank now
+        alone = np.flatnonzero(marks[words.end] > marks[words.start])
         _, once, of = np.unique(words.hash[alone], return_index=True, return_inverse=True)
         found = []
         for i in alone[once].tolist():
-            raw = data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace").lower()
-            bare = own = raw.strip(_AROUND)
-            if gap := _APART.fullmatch(bare):
-                bare = re.sub(r"[.\-_*]", "", gap[0])
-            new = self.restore(bare)
-            found.append(new if new != own else None)
+            raw = data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace").lower().strip(_AROUND)
+            new = self.restore(raw)
+            found.append(new if new != raw else None)
         changed = np.array([w is not None for w in found], bool)[of] if found else np.zeros(0, bool)
         at = alone[changed]
-        np.add.at(blank, words.start[at], 1)
-        np.add.at(blank, words.end[at], -1)
         restored += zip(words.doc[at].tolist(), (found[i] for i in of[changed].tolist()), strict=True)
-        if restored:
-            data = np.where(np.cumsum(blank)[:-1] > 0, np.uint8(0x20), data)
-        return data, restored
+        return self._blanked(data, words.start[at], words.end[at]) if len(at) else data, restored
 
     @staticmethod
-    def _spaced(data: np.ndarray, words: Words):
-        """Runs of four single letters or more, one space apart."""
-        single = words.end - words.start == 1
-        single &= (_IS_LETTER | _IS_LEET)[data[words.start]]
-        if not single.any():
-            return
-        joined = np.zeros(len(single), bool)
-        joined[1:] = single[1:] & single[:-1] & (words.doc[1:] == words.doc[:-1]) & (words.start[1:] - words.end[:-1] == 1)
-        begin = np.flatnonzero(single & ~joined)
-        group = np.cumsum(single & ~joined)
-        for b in begin:
-            e = np.searchsorted(group, group[b], "right")
-            run = np.flatnonzero(single[b:e])
-            last = b + run[-1]
-            if last - b >= 3 and _IS_LETTER[data[words.start[b] : words.end[last]]].sum() >= 3:
-                yield int(words.start[b]), int(words.end[last])
+    def _blanked(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        inside = np.zeros(len(data) + 1, np.int64)
+        np.add.at(inside, start, 1)
+        np.add.at(inside, end, -1)
+        return np.where(np.cumsum(inside)[:-1] > 0, np.uint8(0x20), data)
+
+    def _spans(self, data: np.ndarray, offsets: np.ndarray, marks: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+        """Rows, starts and ends of the runs of short pieces that the search may change.
+
+        Where a run has nothing but gaps to decide, the search is done here for all runs at
+        once, and those whose gaps all stay are left out. The few very long runs are left to
+        the search itself, which decides the same.
+        """
+        pieces = Words(data, offsets, _BETWEEN)
+        if len(pieces.start) < 2:
+            return [], [], []
+        firm = np.concatenate([[0], np.cumsum(_FIRM[data])])
+        at = np.flatnonzero(_first_bytes(data))
+        begin, over = np.searchsorted(at, pieces.start), np.searchsorted(at, pieces.end)
+        short = over - begin <= SHORT
+        joined = short[1:] & short[:-1] & (pieces.doc[1:] == pieces.doc[:-1]) & (firm[pieces.start[1:]] == firm[pieces.end[:-1]])
+        turn = np.flatnonzero(np.diff(np.concatenate([[False], joined, [False]]).astype(np.int8)))
+        first, last = turn[::2], turn[1::2]  # pieces
+        start, end = pieces.start[first], pieces.end[last]
+        other = np.concatenate([[0], np.cumsum(marks | _IS_LEET[data])])
+        take = (other[end] > other[start]) | (last - first >= LONG_RUN)
+        plain = np.flatnonzero(~take)
+        if len(plain):
+            take[plain] = self._some_gap_goes(_CLASS[data[at]].astype(np.int64), begin, over, first[plain], last[plain])
+        return pieces.doc[first[take]].tolist(), start[take].tolist(), end[take].tolist()
+
+    def _some_gap_goes(self, kind: np.ndarray, begin: np.ndarray, over: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For runs of pieces first to last: whether the best path leaves a gap out.
+
+        The last three characters follow from what became of the last two gaps, so four
+        states are enough; a fifth column is the path on which all gaps stay.
+        """
+        logp = self.logp.ravel()
+
+        def say(state, weight, a, b):
+            for k in range(int((b - a).max(initial=0))):
+                go = np.flatnonzero(b - a > k)
+                s = state[go] * LETTERS + kind[a[go] + k][:, None]
+                weight[go] += logp[s]
+                state[go] = s % LETTERS**3
+
+        by = np.argsort(first - last, kind="stable")  # most pieces first
+        first, last = first[by], last[by]
+        state, weight = np.zeros((len(by), 5), np.int64), np.zeros((len(by), 5))
+        weight[:, 1:4] = -np.inf
+        say(state, weight, begin[first], over[first])
+        steps = last - first
+        for j in range(1, int(steps.max()) + 1):
+            m = int(np.searchsorted(-steps, -j, "right"))
+            piece = first[:m] + j
+            stay, w_stay = state[:m].copy(), weight[:m] + STAYS
+            say(stay, w_stay, over[piece - 1], begin[piece])
+            # columns: this gap, the one before, the one before that; all stay
+            both = np.concatenate([stay[:, :4], state[:m, :4], stay[:, 4:]], axis=1)
+            w_both = np.concatenate([w_stay[:, :4], weight[:m, :4] + GOES, w_stay[:, 4:]], axis=1)
+            say(both, w_both, begin[piece], over[piece])
+            two = w_both[:, :8].reshape(m, 4, 2)
+            best = two.argmax(axis=2)[:, :, None]
+            weight[:m, :4] = np.take_along_axis(two, best, 2)[:, :, 0]
+            state[:m, :4] = np.take_along_axis(both[:, :8].reshape(m, 4, 2), best, 2)[:, :, 0]
+            weight[:m, 4], state[:m, 4] = w_both[:, 8], both[:, 8]
+        weight += logp[state * LETTERS]
+        out = np.zeros(len(by), bool)
+        out[by] = weight[:, :4].max(axis=1) > weight[:, 4] + 1e-9
+        return out
 
 
 #: A word's features: its form and its first bytes, so many of them.

@@ -92,6 +92,31 @@ def test_repeated_letters_are_code_points(trained):
     assert not Restorer._marks(np.frombuffer(b"x-aa-x", np.uint8), np.array([0, 3, 6])).any()
 
 
+@pytest.mark.parametrize("text", ["you are a m o r o n", "i d i o t m o r o n", "that mo ron is st u p id", "a st.up id i-d i.ot", "you are a m 0 r 0 n", "I d  i\to t and los er"])
+def test_gaps_are_decided_by_the_language_model(trained, text):
+    """Articles beside the letters, two insults in a row, gaps not at every letter, leet and gaps."""
+    assert scores(trained[2], " ".join(PLAIN) + " " + text)[0] >= 0.5
+    _, restored = trained[2].restorer.undisguise(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert any(w in INSULTS for _, t in restored for w in t.split())
+
+
+def test_runs_left_out_are_those_whose_gaps_all_stay(trained):
+    r: Restorer = trained[2].restorer
+    rng = random.Random(3)
+    pieces = [w[i : i + 3] for w in INSULTS + PLAIN for i in range(0, len(w), 2)] + ["o", "v", "\u00e9n", "over", "dogs", "and", "read"]
+    hits = 0
+    for _ in range(300):
+        text = rng.choice([" ", " ", "-", "  ", "."]).join(rng.choice(pieces) for _ in range(rng.randint(2, 9)))
+        raw = text.encode()
+        data, offsets = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+        if (marks := Restorer._marks(data, offsets)).any():
+            continue
+        spans = r._spans(data, offsets, marks)[0]
+        assert bool(spans) == (r.restore(text) != text)
+        hits += bool(spans)
+    assert 20 < hits
+
+
 def test_clean_numbers_are_left_alone(trained):
     assert (scores(trained[2], "call 555 6268 or write to a1b2@mail.example on 3/4/2020 at 173.33.203.46", "model x100 costs $40 and 3rd class", "a b c d e f g h") < 0.5).all()
 
