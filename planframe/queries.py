@@ -198,6 +198,16 @@ def hash_join_2key(d):
     return b.project(b.hash_join(left, right).left_cols([0, 3]).right_cols([0, 1])).cols([0, 1, 2, 4, 5, 6])
 
 
+@query(
+    "select l.l_orderkey, l.l_linenumber::bigint as l_linenumber, l.l_quantity, m.l_orderkey as o, m.l_suppkey as n, m.l_partkey as q from lineitem l join lineitem m on l.l_orderkey = m.l_orderkey and l.l_suppkey = m.l_suppkey",
+    ["l_orderkey", "l_linenumber", "l_quantity", "o", "n", "q"],
+)
+def hash_join_2key_whole(d):
+    left = scan(d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_suppkey")
+    right = scan(d, "lineitem", "l_orderkey", "l_suppkey", "l_partkey")
+    return b.project(b.hash_join(left, right).left_cols([0, 3]).right_cols([0, 1])).cols([0, 1, 2, 4, 5, 6])
+
+
 @query("select c_custkey, s_acctbal from customer join supplier on false", ["c_custkey", "s_acctbal"])
 def hash_join_mixed_types(d):
     """Keys of different types never match."""

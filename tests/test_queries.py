@@ -31,3 +31,9 @@ def test_entry():
 
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_two_key_join_of_whole_tables(spark):
+    """Each line meets itself at least, whatever its number."""
+    rows = QUERIES["hash_join_2key_whole"](spark, DATA).select("l_orderkey", "l_linenumber").distinct().count()
+    assert rows == spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
