@@ -8,7 +8,9 @@ not the batch.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +31,36 @@ def arrow_limits(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder of ``spark.checkpoint.dir``.
 
-    Set a folder of our own only where the session has none (tests on one machine).
+    Where the session has none: a folder of this machine if the master is local, else an
+    error, as executors wouldn't see the files.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "planframe-checkpoints"))
     out = df.checkpoint(eager=True)
-    # Spark removes the shuffle files of plans that nothing refers to when the driver collects its garbage
+    # Spark removes the shuffle files of plans that nothing refers to when the driver collects
+    # its garbage; else they would stay on the executors' disks until the job ends
     del df
     sc._jvm.System.gc()
     return out
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df``, checkpointed unless it reads files or checkpoints row by row.
+
+    Operators number the rows and read them several times. A scan gives every row the same
+    number each time, also when a lost executor's part is read anew; rows from a shuffle
+    can come in another order.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = set(re.findall(r"^[\s:+-]*([A-Za-z]+)", plan, re.MULTILINE))
+    return df if nodes <= {"Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "RelationV"} and not re.search(r"\b(rand|randn|uuid|shuffle|monotonically_increasing_id)\(", plan) else checkpoint(df)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like the wanted ones that ``df`` doesn't have, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -184,14 +202,15 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Bloom:
-    """A Bloom filter of fixed size over 64-bit keys: no false negatives at any input size.
+    """A Bloom filter over 64-bit keys: no false negatives at any input size.
 
-    It is built by an aggregation on the executors; the driver receives at most
-    ``2**bits / 64`` words whatever the number of keys. When it fills up it passes more
-    keys, which costs time and never changes a result.
+    It is built by an aggregation on the executors, of 12 to 24 bits a key up to
+    ``2**MOST_BITS`` in all (32 MB, which every task gets). With more keys than fit it passes
+    more, which costs time and never changes a result.
     """
 
     PROBES = 2
+    LEAST_BITS, MOST_BITS = 18, 28
 
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
@@ -199,11 +218,20 @@ class Bloom:
     @staticmethod
     def slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
         keys = keys.astype(np.uint64, copy=False) if keys.dtype != np.int64 else keys.view(np.uint64)
-        return [mix(keys + _U(0x632BE59BD9B4E019 * (k + 1) % (1 << 64))) >> _U(64 - bits) for k in range(Bloom.PROBES)]
+        return [mix(keys + _U(Bloom.salt(k))) >> _U(64 - bits) for k in range(Bloom.PROBES)]
+
+    @staticmethod
+    def salt(k: int) -> int:
+        return 0x632BE59BD9B4E019 * (k + 1) % (1 << 64)
 
     @classmethod
-    def build(cls, df: DataFrame, bits: int = 24) -> "Bloom":
-        """From the first column (long, not null) of ``df``."""
+    def build(cls, df: DataFrame, bits: int | None = None) -> "Bloom":
+        """From the first column (long, not null) of ``df``; sized by the number of rows unless ``bits`` are given."""
+        bits = bits or min(max((12 * df.count()).bit_length(), cls.LEAST_BITS), cls.MOST_BITS)
+
+        from .rarity import PACKED, packed, unpacked
+
+        word = np.dtype([("w", "<i4"), ("v", "<u8")])
 
         def words(batches):
             own = None
@@ -214,13 +242,28 @@ class Bloom:
                     np.bitwise_or.at(own, (slot >> _U(6)).astype(np.int64), _U(1) << (slot & _U(63)))
             if own is not None:
                 at = np.flatnonzero(own)
-                for i in range(0, len(at), 65536):
-                    part = at[i : i + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[part].view(np.int64))], ["w", "v"])
+                records = np.empty(len(at), word)
+                records["w"], records["v"] = at, own[at]
+                if len(at):
+                    yield from packed(records, at >> 12)
 
-        rows = df.mapInArrow(words, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-        out = np.zeros(1 << (bits - 6), np.uint64)
-        out[rows.column("w").to_numpy()] = rows.column("v").to_numpy().view(np.uint64)
+        def merged(batches):
+            own, now = np.zeros(1 << 12, np.uint64), None
+            for batch in batches:
+                for block, records in unpacked(batch, word):
+                    if block != now and now is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([own.tobytes()])], ["bucket", "blob"])
+                        own[:] = 0
+                    now = block
+                    own[records["w"] & 4095] |= records["v"]
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([own.tobytes()])], ["bucket", "blob"])
+
+        blocks = df.mapInArrow(words, PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, PACKED).toArrow()
+        out = np.zeros(max(1 << (bits - 6), 1 << 12), np.uint64)
+        for batch in blocks.to_batches():
+            for block, own in unpacked(batch, np.dtype("<u8")):
+                out[block << 12 : (block + 1) << 12] = own
         return cls(out, bits)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
@@ -230,6 +273,27 @@ class Bloom:
         return found
 
 
+def with_filter(df: DataFrame, keys: DataFrame, key: str, flag: str) -> DataFrame:
+    """``df`` with the boolean column ``flag``: false only where ``key`` isn't in the first column of ``keys``.
+
+    A Bloom filter as in ``Bloom``, built and asked by the JVM, for rows that shouldn't pass
+    through Python: one row with an array, of the same bound, is joined to all rows.
+    """
+    bits = min(max((12 * keys.count()).bit_length(), 10), Bloom.MOST_BITS)
+    (words,) = free_names(df, "words")
+
+    def slots(column):
+        return [F.shiftrightunsigned(F.xxhash64(column, F.lit(k)), 64 - bits) for k in range(Bloom.PROBES)]
+
+    each = keys.select(F.explode(F.array(*slots(F.col(keys.columns[0])))).alias("s"))
+    rows = each.groupBy((F.col("s") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("v")).toArrow()
+    own = np.zeros(1 << (bits - 6), np.int64)
+    own[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
+    one = df.sparkSession.createDataFrame(pa.table({words: pa.array([own])}))
+    found = reduce(lambda a, b: a & b, [F.getbit(F.get(words, F.shiftright(s, 6).cast("int")), s.bitwiseAND(63).cast("int")) == 1 for s in slots(F.col(key))])
+    return df.join(F.broadcast(one)).withColumn(flag, found).drop(words)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, comp), comp the least node.
 
@@ -241,7 +305,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     while True:
-        n, s, m = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("a")).first()
+        n, s = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if n == 0 or (n, s) == last:
             break
         last = (n, s)

@@ -3,7 +3,7 @@ import random
 import pytest
 from llm_helpers import DOCS, ODD, clashing, documents, shingles_of
 
-from planframe.llm import ngramjoin
+from planframe.llm import ngramjoin, rarity
 
 
 def brute(texts, width, percent):
@@ -68,7 +68,7 @@ def test_chain_of_small_changes(spark):
 
 
 def test_hot_group_and_common_passage(spark, monkeypatch):
-    monkeypatch.setattr(ngramjoin, "LEAST_HEAVY", 2)
+    monkeypatch.setattr(rarity, "LEAST_HEAVY", 2)
     rng = random.Random(9)
     base, passage, vocabulary = [f"b{i}" for i in range(80)], [f"p{i}" for i in range(60)], [f"v{i}" for i in range(5000)]
     texts = [edited(base, 0.02, rng, vocabulary) for _ in range(60)] + [base] * 30
@@ -99,3 +99,44 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert ngramjoin.ngram_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_near_copies_that_mostly_do_not_link(spark, monkeypatch, block):
+    """A group with quadratically many pairs to rule out: only links leave, in blocks of any size."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    rng = random.Random(block)
+    base, vocabulary = [f"b{i}" for i in range(120)], [f"v{i}" for i in range(9000)]
+    texts = [edited(base, rng.choice([0.02, 0.03, 0.05]), rng, vocabulary) for _ in range(90)]
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingles_of(t, 4) for _, t in texts]
+    like = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert 0 < sum(x >= 0.85 for x in like) < len(like) / 4
+    check(documents(spark, texts), texts)
+
+
+def test_classes_order_what_the_table_does_not_hold(spark, monkeypatch):
+    monkeypatch.setattr(rarity, "LEAST_HEAVY", 1)
+    monkeypatch.setattr(rarity, "MOST_HEAVY", 4)
+    monkeypatch.setattr(rarity, "CLASS_CELLS", 64)
+    rng = random.Random(4)
+    base, passage, vocabulary = [f"b{i}" for i in range(50)], [f"p{i}" for i in range(30)], [f"v{i}" for i in range(900)]
+    texts = [edited(base, 0.02, rng, vocabulary) for _ in range(25)] + [[rng.choice(vocabulary) for _ in range(40)] + passage for _ in range(25)]
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    check(documents(spark, texts), texts)
+
+
+def test_sketches_of_samples(spark, monkeypatch):
+    """Sets of several levels, also ones that link across a level's end."""
+    monkeypatch.setattr(ngramjoin, "WHOLE", 50)
+    monkeypatch.setattr(ngramjoin, "SAMPLED", 30)
+    assert ngramjoin.level([0, 50, 51, 61, 120, 121]).tolist() == [0, 0, 1, 2, 2, 3]
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(9000)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(40, 140))]
+        texts += [edited(base, rng.choice([0, 0.01, 0.02, 0.04]), rng, vocabulary) for _ in range(6)]
+        texts += [base[: len(base) * k // 100] for k in (86, 90, 95)]
+    texts = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    check(documents(spark, texts), texts)
