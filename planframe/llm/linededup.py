@@ -10,34 +10,36 @@ sketch of the words (bins that differ hold words of one line only) bound the ove
 a pair; what passes is verified word by word. Of two lines that match, the later goes.
 
 Equal lines are one class from the start, and classes are what is joined; those of so few
-words that only equal lines are alike enter no list. Lists of at
-most ``SHORT_LIST`` entries are compared pair by pair where they are sorted, unless too
-many pairs pass. In the others, a class needs one earlier match only: first each is tried against the earliest one
-that it meets most often, then those that still stand are joined with all earlier ones
-of their lists. So a list of n like lines costs n pairs, and no match is lost.
-
-Scale: the lists are shuffled once and never stored; texts are shuffled only for the
-documents that lose a line. Lines and words go by 64-bit hashes.
+words that only equal lines are alike enter no list. Lists of at most ``SHORT_LIST``
+entries are compared pair by pair in one place, unless too many pairs pass. In the others,
+a class needs one earlier match only: first each is tried against the earliest one that
+it meets most often, then those that still stand are joined with all earlier ones of
+their lists. So a list of n like lines costs n pairs, and no match is lost.
+
+Scale: list entries are shuffled once, packed by ranges of tokens, and never stored; texts
+are shuffled only for the documents that lose a line. Lines and words go by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Words, checkpoint, chunks, distinct_sets, free_names, mix, segment_sum
-from .ngramjoin import Order, _heavy
+from .common import Bloom, Words, checkpoint, chunks, distinct_sets, free_names, mix, segment_sum, stable, utf8, with_filter
+from .rarity import PACKED, Order, Tally, counted, heavy, packed, unpacked
 
 PERCENT = 80
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 #: A word in more lines than this is frequent.
 FREQUENT = 4096
-#: Entries of a list that is compared pair by pair where it is sorted, and pairs for each of
-#: them that may pass there; a list with more of either goes the way of long ones.
+#: Entries of a list that is compared pair by pair in one place, and pairs for each of them
+#: that may pass there; a list with more of either goes the way of long ones.
 SHORT_LIST, MOST_PAIRS = 512, 8
+#: Entries that a task holds before it hands them out, and those of a bucket on average.
+HELD, BUCKET = 1 << 19, 1 << 16
+_ENTRY = np.dtype([("token", "<i8"), ("sid", "<i8"), ("b1", "<i8"), ("b2", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 _U = np.uint64
 
 
@@ -76,72 +78,66 @@ def _fresh(lines: Lines, least: int, seen: set[int], bound: int = 1 << 20) -> np
     return keep
 
 
-def _facts(rows: DataFrame, least: int) -> DataFrame:
-    """(row, doc_id, line, sid) of every line with ``least`` distinct words or more."""
+def _read(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """One reading of all lines: (row, doc_id, line, sid) of those with ``least`` words or more, and packed tallies of the words of those that can be like others."""
+    kind = rows.schema["doc_id"].dataType
+    none = {"row": pa.int64(), "line": pa.int32(), "sid": pa.int64(), "bucket": pa.int32(), "blob": pa.binary()}
+    joined = max(least, _least_joined(percent))
 
     def work(batches):
+        seen: set[int] = set()
+        tally = Tally()
+        id_type = None
+
+        def tallies(parts):
+            for t in parts:
+                n = len(t)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, none["row"]), pa.nulls(n, id_type), pa.nulls(n, none["line"]), pa.nulls(n, none["sid"]), *t.columns], columns)
+
+        columns = ["row", "doc_id", "line", "sid", "bucket", "blob"]
         for batch in batches:
+            id_type = batch.column(1).type
             for first, data, offsets in chunks(batch.column(2)):
                 lines = Lines(data, offsets)
                 at = np.flatnonzero(lines.n >= least)
                 where = pa.array(lines.row[at] + first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), batch.column(1).take(where), pa.array(lines.line[at].astype(np.int32)), pa.array(lines.sid[at])],
-                    ["row", "doc_id", "line", "sid"],
-                )
+                own = [batch.column(0).take(where), batch.column(1).take(where), pa.array(lines.line[at].astype(np.int32)), pa.array(lines.sid[at])]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(at), none["bucket"]), pa.nulls(len(at), none["blob"])], columns)
+                yield from tallies(tally.add(lines.h[_fresh(lines, joined, seen)[lines.owner]]))
+        yield from tallies(tally.flush())
+
+    return checkpoint(rows.mapInArrow(work, f"row long, doc_id {kind.simpleString()}, line int, sid long, {PACKED}"))
 
-    return rows.mapInArrow(work, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, line int, sid long")
 
+def _entries(rows: DataFrame, least: int, percent: int, order: Order, shared: Bloom, buckets: int) -> DataFrame:
+    """Packed list entries (token, sid, b1, b2, n, pos) of every distinct line.
 
-def _word_counts(rows: DataFrame, least: int) -> DataFrame:
-    """(token, df) of words that occur in two different lines or more."""
+    ``pos``: no word before this place of the order is shared, but for the first of two.
+    """
+    frequent_from = order.over(FREQUENT)
 
     def work(batches):
         seen: set[int] = set()
         held, size = [], 0
 
         def flush():
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], ["token", "n"])
+            records = np.concatenate(held)
+            return packed(records, (((records["token"].view(np.uint64) >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int32))
 
-        for batch in batches:
-            for _, data, offsets in chunks(batch.column(0)):
-                lines = Lines(data, offsets)
-                h = lines.h[_fresh(lines, least, seen)[lines.owner]]
-                held.append(h)
-                size += len(h)
-                if size > 1 << 21:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    return checkpoint(rows.select("text").mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("df")).where("df > 1"))
-
-
-def _entries(rows: DataFrame, least: int, percent: int, order: Order, shared: Bloom) -> DataFrame:
-    """(token, sid, n, pos, b1, b2): the list entries of every distinct line.
-
-    ``pos``: no word before this place of the order is shared, but for the first of two.
-    """
-
-    def work(batches):
-        seen: set[int] = set()
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
                 lines = Lines(data, offsets)
                 chosen = _fresh(lines, least, seen)[lines.owner]
                 h, owner = lines.h[chosen], lines.owner[chosen]
-                weight = order.weight(h)
-                by = np.argsort((owner.astype(np.uint64) << _U(40)) | np.minimum(weight, (1 << 40) - 1).astype(np.uint64), kind="stable")
-                h, owner, weight = h[by], owner[by], weight[by]
+                by, place = order.sorted(h, owner)
+                h, place = h[by], place[by]
                 n = lines.n[owner]
-                pos = np.arange(len(h)) - np.searchsorted(owner, owner)
+                pos = np.arange(len(h)) - np.searchsorted(owner, np.arange(len(lines.n)))[owner]
                 common = -(-n * percent // 100)
-                frequent = (weight > FREQUENT) & (common > 1)
+                frequent = (place >= frequent_from) & (common > 1)
                 alone = (pos < n - common + 1) & ~frequent
                 alone[alone] = shared.has(h[alone])
-                token, who, place = [h[alone]], [owner[alone]], [pos[alone]]
+                token, who, where = [h[alone]], [owner[alone]], [pos[alone]]
                 # twos of frequent words, the words themselves being the last of a prefix
                 at = np.flatnonzero(frequent & (pos < n - common + 2))
                 d = 1
@@ -152,16 +148,23 @@ def _entries(rows: DataFrame, least: int, percent: int, order: Order, shared: Bl
                     x, y = at[two], at[two + d]
                     token.append(mix(h[x] * _U(0x9FB21C651E98DF25) + h[y]))
                     who.append(owner[x])
-                    place.append(pos[y] - 1)
+                    where.append(pos[y] - 1)
                     d += 1
-                token, who, place = np.concatenate(token), np.concatenate(who), np.concatenate(place)
-                b1, b2 = (b[who] for b in lines.sketches())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(lines.sid[who]), pa.array(lines.n[who].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(b1), pa.array(b2)],
-                    ["token", "sid", "n", "pos", "b1", "b2"],
-                )
+                who = np.concatenate(who)
+                records = np.empty(len(who), _ENTRY)
+                records["token"], records["pos"] = np.concatenate(token).view(np.int64), np.concatenate(where)
+                b1, b2 = lines.sketches()
+                for name, values in (("sid", lines.sid), ("b1", b1), ("b2", b2), ("n", lines.n)):
+                    records[name] = values[who]
+                held.append(records)
+                size += len(records)
+                if size >= HELD:
+                    yield from flush()
+                    held, size = [], 0
+        if size:
+            yield from flush()
 
-    return rows.select("text").mapInArrow(work, "token long, sid long, n int, pos int, b1 long, b2 long")
+    return rows.select("text").mapInArrow(work, PACKED)
 
 
 def _word_sets(rows: DataFrame, least: int, wanted: Bloom) -> DataFrame:
@@ -196,86 +199,106 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of short lists that may match, and the entries of long lists.
 
     Rows (token, sid, n, pos, b1, b2, other): ``other`` is the second class of a pair, and
-    null in an entry of a long list. A list's entries come one after another; at most
-    ``SHORT_LIST`` of them are held.
+    null in an entry of a long list. A task holds one bucket of lists, without those that
+    have turned out to be long; of each other list at most ``SHORT_LIST`` entries.
     """
     columns = ["token", "sid", "n", "pos", "b1", "b2"]
 
+    def rows(own: np.ndarray, other: np.ndarray | None = None):
+        arrays = [pa.array(np.ascontiguousarray(own[c])) for c in columns]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(other) if other is not None else pa.nulls(len(own), pa.int64())], [*columns, "other"])
+
+    def pairs(c: np.ndarray):
+        """Pairs of short lists, given by token and size; entries of those with too many."""
+        token, sid, b1, b2 = (np.ascontiguousarray(c[k]) for k in ("token", "sid", "b1", "b2"))
+        n, pos = (c[k].astype(np.int64) for k in ("n", "pos"))
+        of = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+        size = np.bincount(of)
+        passed = np.zeros(len(size), np.int64)
+        out = []
+        at = np.arange(len(token) - 1)
+        for d in range(1, SHORT_LIST):
+            at = at[at < len(token) - d]
+            # sizes rise along a list: what is too long now stays so
+            at = at[(token[at + d] == token[at]) & (percent * n[at + d] <= 100 * n[at]) & (passed[of[at]] <= MOST_PAIRS * size[of[at]])]
+            if not len(at):
+                break
+            x, y = at, at + d
+            total, most = n[x] + n[y], np.minimum(n[x] - pos[x], n[y] - pos[y])
+            ok = (100 * most >= percent * (total - most)) & (sid[x] != sid[y])  # a class can come from several tasks
+            x, y, total = x[ok], y[ok], total[ok]
+            differ = sum(np.bitwise_count((b[x] ^ b[y]).view(np.uint64)).astype(np.int64) for b in (b1, b2))
+            ok = 100 * (total - differ) >= percent * (total + differ)
+            if ok.any():
+                out.append((x[ok], y[ok]))
+                passed += np.bincount(of[x[ok]], minlength=len(size))
+        crowded = (passed > MOST_PAIRS * size)[of]
+        if crowded.any():
+            yield rows(c[crowded])
+        if out:
+            x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+            fine = ~crowded[x]
+            if fine.any():
+                yield rows(c[x[fine]], sid[y[fine]])
+
     def work(batches):
-        held = [np.zeros(0, np.int64)] * 6
-        long_token = None
-
-        def rows(own, other=None):
-            n = len(own[0])
-            arrays = [pa.array(own[0]), pa.array(own[1]), pa.array(own[2].astype(np.int32)), pa.array(own[3].astype(np.int32)), pa.array(own[4]), pa.array(own[5])]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(other) if other is not None else pa.nulls(n, pa.int64())], [*columns, "other"])
-
-        def pairs(c):
-            """Pairs of short lists; entries of those with too many."""
-            by = np.lexsort((c[2], c[0]))
-            c = [v[by] for v in c]
-            token, sid, n, pos, b1, b2 = c
-            head = np.concatenate([[True], token[1:] != token[:-1]])
-            of = np.cumsum(head) - 1
-            size = np.bincount(of)
-            passed = np.zeros(len(size), np.int64)
-            out = []
-            at = np.arange(len(token) - 1)
-            for d in range(1, SHORT_LIST):
-                at = at[at < len(token) - d]
-                # sizes rise along a list: what is too long now stays so
-                at = at[(token[at + d] == token[at]) & (percent * n[at + d] <= 100 * n[at]) & (passed[of[at]] <= MOST_PAIRS * size[of[at]])]
-                if not len(at):
-                    break
-                x, y = at, at + d
-                total, most = n[x] + n[y], np.minimum(n[x] - pos[x], n[y] - pos[y])
-                ok = (100 * most >= percent * (total - most)) & (sid[x] != sid[y])  # a class can come from several tasks
-                x, y, total = x[ok], y[ok], total[ok]
-                differ = sum(np.bitwise_count((b[x] ^ b[y]).view(np.uint64)).astype(np.int64) for b in (b1, b2))
-                ok = 100 * (total - differ) >= percent * (total + differ)
-                if ok.any():
-                    out.append((x[ok], y[ok]))
-                    passed += np.bincount(of[x[ok]], minlength=len(size))
-            crowded = (passed > MOST_PAIRS * size)[of]
-            if crowded.any():
-                yield rows([v[crowded] for v in c])
-            if out:
-                x, y = (np.concatenate(v) for v in zip(*out, strict=True))
-                fine = ~crowded[x]
-                if fine.any():
-                    yield rows([v[x[fine]] for v in c], sid[y[fine]])
-
-        def lists(c, last):
-            """Short lists become pairs, long ones go on; the last one may not be over."""
-            nonlocal held, long_token
-            token = c[0]
-            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-            size = np.diff(np.append(head, len(token)))
-            long = size > SHORT_LIST
-            if len(head) and token[0] == long_token:
-                long[0] = True
-            whole = np.ones(len(head), bool)
-            if len(head):
-                long_token = token[-1] if long[-1] else None
-                whole[-1] = last or long[-1]
-            of = np.repeat(np.arange(len(head)), size)
-            if (long[of]).any():
-                yield rows([v[long[of]] for v in c])
-            short = (~long & whole & (size > 1))[of]
-            if short.any():
-                yield from pairs([v[short] for v in c])
-            held = [v[~whole[of]] for v in c]
+        held, size, limit, now = [], 0, 8 * BUCKET, None
+        long: set[int] = set()
+
+        def lists(over: bool):
+            """Short lists become pairs once a bucket is ``over``, long ones go on at once."""
+            nonlocal held, size
+            every = np.concatenate(held)
+            every = every[_by_token_and_size(every)]
+            token = np.ascontiguousarray(every["token"])
+            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            count = np.diff(np.append(head, len(token)))
+            is_long = count > SHORT_LIST
+            if long:
+                is_long |= np.isin(token[head], np.fromiter(long, np.int64, len(long)))
+            long.update(token[head[is_long]].tolist())
+            of = np.repeat(is_long, count)
+            if of.any():
+                yield rows(every[of])
+            if over:
+                short = ~of & np.repeat(count > 1, count)
+                if short.any():
+                    yield from pairs(every[short])
+                held, size = [], 0
+                long.clear()
+            else:
+                held = [every[~of]]
+                size = len(held[0])
 
         for batch in batches:
-            c = [np.concatenate([h, np.asarray(batch.column(i), np.int64)]) for i, h in enumerate(held)]
-            if len(c[0]):
-                yield from lists(c, False)
-        yield from lists(held, True)
+            for bucket, records in unpacked(batch, _ENTRY):
+                if size and bucket != now:
+                    yield from lists(True)
+                    limit = 8 * BUCKET
+                elif size > limit:
+                    yield from lists(False)
+                    limit = max(limit, 2 * size)
+                now = bucket
+                held.append(records)
+                size += len(records)
+        if size:
+            yield from lists(True)
 
-    dealt = entries.repartition("token").sortWithinPartitions("token")
+    dealt = entries.repartition("bucket").sortWithinPartitions("bucket")
     return checkpoint(dealt.mapInArrow(work, "token long, sid long, n int, pos int, b1 long, b2 long, other long"))
 
 
+def _by_token_and_size(c: np.ndarray) -> np.ndarray:
+    token, n = np.ascontiguousarray(c["token"]), c["n"].astype(np.int64)
+    key = (token & ~np.int64(0xFFFF)) | np.minimum(n, 0xFFFF)
+    by = np.argsort(key)
+    near = key[by] >> 16
+    own = token[by]
+    if n.max(initial=0) > 0xFFFF or ((near[1:] == near[:-1]) & (own[1:] != own[:-1])).any():
+        return np.lexsort((n, token))
+    return by
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of the pairs whose word sets are alike."""
     common = F.size(F.array_intersect("words_a", "words_b"))
@@ -288,24 +311,32 @@ def _least_joined(percent: int) -> int:
     return -(-percent // max(1, 100 - percent))
 
 
-def _found(rows: DataFrame, least: int, percent: int) -> DataFrame:
-    counts = _word_counts(rows, least)
-    order = Order(*_heavy(counts))
-    shared = Bloom.build(counts.select("token"), 25)
-    return _meet(_entries(rows, least, percent, order, shared), percent)
+def _found(rows: DataFrame, tallies: DataFrame, least: int, percent: int) -> DataFrame:
+    counts = counted(tallies)
+    token, df, classes = heavy(counts)
+    words = counts.agg(F.sum("df")).first()[0] or 0
+    buckets = min(max(words * (100 - percent) // 100 // BUCKET, 16), 1 << 20)
+    shared = Bloom.build(counts.select("token"))
+    return _meet(_entries(rows, least, percent, Order(token, df, high=classes), shared, buckets), percent)
 
 
 def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(row, line) of all lines to remove; ``rows`` has ``row`` (unique), ``doc_id``, ``text``."""
-    facts = checkpoint(_facts(rows, least_words))
+    """(row, line) of all lines to remove; ``rows`` has ``row`` (unique, the same at each reading), ``doc_id``, ``text``."""
+    read = _read(rows, least_words, percent)
+    facts = read.where("row is not null").select("row", "doc_id", "line", "sid")
     joined = max(least_words, _least_joined(percent))
+    found = _found(rows, read.where("bucket is not null").select("bucket", "blob"), joined, percent)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
-    classes = checkpoint(facts.groupBy("sid").agg(F.min(place).alias("first")))
-    found = _found(rows, joined, percent)
-
+    classes = checkpoint(facts.groupBy("sid").agg(F.min(place).alias("first"), F.count("*").alias("lines")))
+
+    # pairs of short lists, and the first lines of all classes that are compared
+    short = found.where("other is not null").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
+    short = checkpoint(short.distinct())
+    lists = checkpoint(found.where("other is null").drop("other").distinct())
+    compared = lists.select("sid").union(short.select("a")).union(short.select("b")).distinct()
+    firsts = checkpoint(classes.select("sid", "first").join(compared, "sid", "left_semi"))
     # long lists: each class with the earliest one that it meets most often
-    lists = found.where("other is null").drop("other").distinct()
-    lists = checkpoint(lists.join(classes, "sid"))
+    lists = checkpoint(lists.join(firsts, "sid"))
     earliest = lists.groupBy("token").agg(F.min(F.struct("first", "sid", "n", "pos", "b1", "b2")).alias("x"))
     stars = checkpoint(
         lists.alias("y")
@@ -318,13 +349,12 @@ def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = L
         .select("a", "b")
     )
     # short lists: all pairs; of two that match, the later one goes
-    pairs = found.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).unionByName(stars)
-    pairs = checkpoint(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = checkpoint(short.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     # one reading of the texts gives the words of all lines that may be compared
-    wanted = Bloom.build(pairs.select(F.explode(F.array("a", "b")).alias("sid")).unionByName(lists.select("sid")))
+    wanted = Bloom.build(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(lists.select("sid")))
     sets = checkpoint(_word_sets(rows, joined, wanted))
     near = _alike(pairs, sets, percent)
-    first_a, first_b = (classes.select(F.col("sid").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    first_a, first_b = (firsts.select(F.col("sid").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
     gone = checkpoint(near.join(first_a, "a").join(first_b, "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("sid")).distinct())
 
     # what still stands in a long list, with all earlier ones of the list
@@ -338,8 +368,10 @@ def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = L
             .join(stars, ["a", "b"], "left_anti")
         )
         gone = gone.unionByName(_alike(rest, sets, percent).select(F.col("b").alias("sid"))).distinct()
-    judged = facts.join(classes, "sid").join(gone.withColumn("gone", F.lit(True)), "sid", "left")
-    return judged.where(F.col("gone").isNotNull() | (F.col("first.row") != F.col("row")) | (F.col("first.line") != F.col("line"))).select("row", "line")
+    # one row for each class that loses a line, so adaptive execution can split the lines of a frequent one
+    twice = classes.where("lines > 1").select("sid", "first")
+    losing = checkpoint(twice.join(gone.withColumn("gone", F.lit(True)), "sid", "full"))
+    return facts.join(losing, "sid").where(F.col("gone").isNotNull() | (F.col("first.row") != F.col("row")) | (F.col("first.line") != F.col("line"))).select("row", "line")
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -348,33 +380,54 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Lines end at a line feed. Words are runs outside space and the control characters 9
     to 13, A-Z lower-cased. A line goes when an earlier line, by (``id_col``, row, line),
     null ids last, has a Jaccard likeness of ``percent`` or more, whether that one stays
-    or not. Lines of fewer than ``least_words`` distinct words always stay. Null and empty
+    or not. Lines without a word, or of fewer than ``least_words`` distinct words, always
+    stay. Null and empty
     texts stay as they are and have 0 lines; a document may be left with an empty text;
     repeated rows lose all such lines but the first. ``percent`` must be over 50. Other
     columns are carried along, but for ones named like the two new ones, which these
     replace. An empty table gives an empty result.
     """
-    number, lines_col = free_names(docs, "row", "lines")
-    docs = docs.drop("n_lines", "n_removed")
+    number, lines_col, losing = free_names(docs, "row", "lines", "losing")
+    docs = stable(docs.drop("n_lines", "n_removed"))
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
     rows = numbered.select(F.col(number).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     removed = checkpoint(repeated_lines(rows, percent, least_words).groupBy(F.col("row").alias(number)).agg(F.collect_set("line").alias(lines_col)))
-    touched = Bloom.build(removed.select(number))
 
-    @F.pandas_udf("boolean")
-    def may_lose(row: pd.Series) -> pd.Series:
-        return pd.Series(touched.has(row.to_numpy(np.int64)))
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, lines: pa.Array) -> pa.Array:
+        return _without(text, lines)
 
     text = F.col(text_col)
-    parts = F.split(text, "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(lines_col), i)), "\n")
+    size = F.octet_length(text)
     counts = {
-        "n_lines": F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
+        "n_lines": F.when(F.coalesce(size, F.lit(0)) == 0, 0).otherwise(size - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_removed": F.coalesce(F.size(lines_col), F.lit(0)).cast("long"),
     }
-    out = [F.when(F.col(lines_col).isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    out += [e.alias(c) for c, e in counts.items()]
-    # only documents that may lose a line are shuffled
-    changed = numbered.where(may_lose(number)).join(removed, number, "left").select(*out)
-    same = numbered.where(~may_lose(number)).withColumn(lines_col, F.lit(None).cast("array<int>")).select(*out)
+
+    def out(kept) -> list:
+        return [kept.alias(c) if c == text_col else F.col(c) for c in docs.columns] + [e.alias(c) for c, e in counts.items()]
+
+    # only documents that may lose a line are shuffled; a task's numbers and lines are small beside its texts
+    asked = with_filter(numbered, removed.select(number), number, losing)
+    changed = asked.where(losing).join(removed.hint("shuffle_hash"), number, "left").select(*out(cut(text, F.col(lines_col))))
+    same = asked.where(~F.col(losing)).withColumn(lines_col, F.lit(None).cast("array<int>")).select(*out(text))
     return changed.unionByName(same)
+
+
+def _without(text: pa.Array, lines: pa.Array) -> pa.Array:
+    """The texts without their lines of the numbers given; null lists take nothing away."""
+    data, offsets = utf8(text)
+    out, at = [], [0]
+    for i, gone in enumerate(lines):
+        own = data[offsets[i] : offsets[i + 1]]
+        if gone.is_valid and text[i].is_valid:
+            # a line goes with the line feed after it, and the last one that stays loses its own
+            ends = np.append(np.flatnonzero(own == 10) + 1, len(own) + 1)
+            stays = np.ones(len(ends), bool)
+            stays[gone.values.to_numpy()] = False
+            own = np.append(own, np.uint8(10))[np.repeat(stays, np.diff(ends, prepend=0))][:-1]
+        out.append(own)
+        at.append(at[-1] + len(own))
+    whole = np.concatenate(out) if out else np.zeros(0, np.uint8)
+    texts = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(np.array(at, np.int64)), pa.py_buffer(whole))
+    return texts.cast(pa.string()) if text.null_count == 0 else pa.array([t if v.is_valid else None for t, v in zip(texts.to_pylist(), text, strict=True)], pa.string())

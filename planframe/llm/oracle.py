@@ -58,7 +58,7 @@ def _line_sql() -> str:
 with lines as materialized (
     select doc_id, i - 1 as line_no, parts[i] as line from (select doc_id, string_split(text, chr(10)) as parts from documents), lateral (select unnest(range(1, len(parts) + 1)) as i)
 ), sets as materialized (
-    select row_number() over (order by doc_id, line_no) as id, doc_id, line_no, s, len(s) as n from (select *, list_distinct({words}) as s from lines) where len(s) >= 5
+    select row_number() over (order by doc_id, line_no) as id, doc_id, line_no, s, len(s) as n from (select *, list_distinct({words}) as s from lines) where len(s) >= 1
 ), tokens as materialized (
     select id, n, unnest(s) as token from sets
 ), df as (
@@ -139,7 +139,6 @@ from pages2 join h5 using (host) left join fits using (page_id)"""
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": _mix_sql(),
     "op3_line_dedup": _line_sql(),
-    "op3_line_dedup_all": _line_sql().replace("len(s) >= 5", "len(s) >= 1"),
     "op6_url_filter": _url_sql(),
     "op7_exact_dedup": """
 select doc_id, max(doc_id) over t as keep_id, count(*) over t as group_size, doc_id = max(doc_id) over t as kept, sha256(coalesce(text, '')) as text_sha256
