@@ -8,7 +8,8 @@ is typed before anything runs, then lowered to one lazy DataFrame.
 from .builder import PlanBuilder
 from .catalog import Catalog, plan_from_join_order
 from .errors import InvalidChildrenError, OperatorFileError, PlanError, PlanTypeError, UnknownOperatorError
-from .plans import OPERATORS, compile_plan, to_dot
+from .functions.text import rows_to_string
+from .plans import OPERATORS, compile_plan, operator_metadata, to_dot
 from .types import LogicalType
 
 __all__ = [
@@ -22,6 +23,8 @@ __all__ = [
     "PlanTypeError",
     "UnknownOperatorError",
     "compile_plan",
+    "operator_metadata",
     "plan_from_join_order",
+    "rows_to_string",
     "to_dot",
 ]

@@ -1,72 +1,95 @@
-"""Writing plans in Python: ``PlanBuilder().project(scan).cols([0, 1]).to_json()``."""
+"""Writing plans in Python: ``PlanBuilder().project(scan).cols([0, 1]).to_json()``.
+
+A step is a finished piece of plan and never changes: setting an option gives a new step,
+so one step can be an input of several others. Methods come from the tables of operators
+and options in ``plans.ir``; there are no others, so a misspelt name is an error.
+"""
 
 from __future__ import annotations
 
 import json
+from copy import deepcopy
+from dataclasses import dataclass, field, replace
 from typing import Any
 
-from .errors import InvalidChildrenError, OperatorFileError, UnknownOperatorError
+from .errors import PlanError, UnknownOperatorError
 from .plans.compiler import CompiledPlan, compile_plan
-from .plans.ir import OPERATORS
+from .plans.ir import OPERATORS, OPTIONS, check_file, check_inputs
 from .types import LETTERS
 
 
-class PlanBuilder:
-    """Each operator is a method: its name with ``_`` for spaces, its inputs as arguments."""
-
-    def __getattr__(self, attribute: str):
-        op = attribute.replace("_", " ")
-        if op not in OPERATORS:
-            raise UnknownOperatorError(op)
-        return lambda *inputs: Step(op, inputs)
+def type_names(types: str | list[str]) -> list[str]:
+    """A list of type names as it is; a string has one letter for each: i, r, t, b."""
+    return [LETTERS[letter].value for letter in types] if isinstance(types, str) else list(types)
 
 
+@dataclass(frozen=True)
 class Step:
-    """An operator under construction. Every other method sets the option of its name."""
+    """An operator with its inputs and the options set so far."""
+
+    op: str
+    inputs: tuple[Step, ...] = ()
+    options: dict[str, Any] = field(default_factory=dict)
+
+    def __post_init__(self):
+        check_inputs(self.op, len(self.inputs))
+
+    def having(self, **options: Any) -> Step:
+        """A step with these options as well."""
+        for option in options:
+            if option == "file":
+                check_file(self.op, True)
+            elif option not in OPTIONS[self.op]:
+                raise PlanError(f"{self.op} has no option {option!r}")
+        if "types" in options:
+            options["types"] = type_names(options["types"])
+        return replace(self, options=self.options | options)
 
-    def __init__(self, op: str, inputs: tuple[Step, ...]):
-        want = OPERATORS[op].inputs
-        if len(inputs) != want and not (want is None and inputs):
-            raise InvalidChildrenError(op, "one or more" if want is None else str(want), len(inputs))
-        self._op, self._inputs, self._options = op, inputs, {}
+    def to_json(self) -> dict[str, Any]:
+        check_file(self.op, "file" in self.options)
+        spec: dict[str, Any] = {"op": self.op, "options": deepcopy(self.options), "input": [i.to_json() for i in self.inputs]}
+        return {key: value for key, value in spec.items() if value}
 
-    @property
-    def _has_file(self) -> bool:
-        return OPERATORS[self._op].reads or OPERATORS[self._op].writes
+    def dumps(self, **how: Any) -> str:
+        return json.dumps(self.to_json(), **how)
 
-    def types(self, types: str | list[str]) -> Step:
-        """A list of type names, or one letter each: i, r, t, b."""
-        self._options["types"] = [LETTERS[c].value for c in types] if isinstance(types, str) else list(types)
-        return self
+    def compile(self) -> CompiledPlan:
+        return compile_plan(self.to_json())
 
-    def file(self, path: str) -> Step:
-        if not self._has_file:
-            raise OperatorFileError(self._op, False)
-        self._options["file"] = path
-        return self
 
-    def __getattr__(self, option: str):
-        if option.startswith("_"):
-            raise AttributeError(option)
+def _option_method(option: str):
+    def method(self: Step, value: Any) -> Step:
+        return self.having(**{option: value})
 
-        def put(value: Any) -> Step:
-            self._options[option] = value
-            return self
+    method.__name__, method.__doc__ = option, f"A step with the option ``{option}``."
+    return method
 
-        return put
 
-    def to_json(self) -> dict[str, Any]:
-        if self._has_file and "file" not in self._options:
-            raise OperatorFileError(self._op, True)
-        out: dict[str, Any] = {"op": self._op}
-        if self._options:
-            out["options"] = dict(self._options)
-        if self._inputs:
-            out["input"] = [i.to_json() for i in self._inputs]
-        return out
+for _option in sorted({o for options in OPTIONS.values() for o in options}):
+    setattr(Step, _option, _option_method(_option))
 
-    def dumps(self, **how: Any) -> str:
-        return json.dumps(self.to_json(), **how)
 
-    def compile(self) -> CompiledPlan:
-        return compile_plan(self.to_json())
+class PlanBuilder:
+    """Each operator is a method: its name with ``_`` for spaces, its inputs as arguments."""
+
+    def step(self, op: str, *inputs: Step) -> Step:
+        """The operator of that name."""
+        if op not in OPERATORS:
+            raise UnknownOperatorError(op)
+        return Step(op, inputs)
+
+    def __getattr__(self, missing: str):
+        # operators are methods of the class, so only other names get here
+        raise AttributeError(missing) if missing.startswith("_") else UnknownOperatorError(missing)
+
+
+def _operator_method(op: str):
+    def method(self: PlanBuilder, *inputs: Step) -> Step:
+        return self.step(op, *inputs)
+
+    method.__name__, method.__doc__ = op.replace(" ", "_"), f"The operator ``{op}``."
+    return method
+
+
+for _op in OPERATORS:
+    setattr(PlanBuilder, _op.replace(" ", "_"), _operator_method(_op))

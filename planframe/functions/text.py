@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..types import LogicalType
@@ -45,3 +47,9 @@ def render(column: Column, kind: LogicalType) -> Column:
         .when(text.contains("E"), plain)
         .otherwise(F.regexp_replace(text, r"\.0$", ""))
     )
+
+
+def rows_to_string(df: DataFrame, types: Sequence[LogicalType], sort: bool = False) -> Iterator[str]:
+    """Each row as one line, cells rendered and a space between them; ``sort`` sorts the lines."""
+    lines = df.select(F.concat_ws(" ", *[render(F.col(c), t) for c, t in zip(df.columns, types, strict=True)]).alias("line"))
+    return (row["line"] for row in (lines.orderBy("line") if sort else lines).toLocalIterator())

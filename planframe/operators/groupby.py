@@ -22,11 +22,17 @@ def output_types(types: Sequence[LogicalType], aggregates: Aggregates, path: str
     return (*types, *[result_type(op, types[i], path) for op, i in aggregates])
 
 
-def _columns(n: int, aggregates: Aggregates, place: Column, key: int | None) -> list[Column]:
-    witness = [F.min_by(F.col(name(i)), place).alias(name(i)) for i in range(n) if i != key]
+def _columns(n: int, aggregates: Aggregates, place: Column | None, key: int | None) -> list[Column]:
+    """``place`` is None where no witness column is used: any row's value will do then."""
+    one = (lambda c: F.first(c)) if place is None else (lambda c: F.min_by(c, place))
+    witness = [one(F.col(name(i))).alias(name(i)) for i in range(n) if i != key]
     return witness + [aggregate(op, F.col(name(i))).alias(name(n + k)) for k, (op, i) in enumerate(aggregates)]
 
 
+def _place(rel: Relation) -> Column | None:
+    return rel.place if rel.order else None
+
+
 def _relation(df: DataFrame, types: tuple[LogicalType, ...], order: Column, sorted_by: Sequence[int] = ()) -> Relation:
     df = df.select(*[name(i) for i in range(len(types))], order.alias(order_name(0)))
     return Relation(df, types, (order_name(0),), tuple(sorted_by))
@@ -35,7 +41,7 @@ def _relation(df: DataFrame, types: tuple[LogicalType, ...], order: Column, sort
 def hashed_group_by(rel: Relation, key: int, aggregates: Aggregates) -> Relation:
     """One row per key; partial aggregation before the shuffle, so a hot key is cheap."""
     types = output_types(rel.types, aggregates)
-    df = rel.df.groupBy(name(key)).agg(*_columns(len(rel.types), aggregates, rel.place, key))
+    df = rel.df.groupBy(name(key)).agg(*_columns(len(rel.types), aggregates, _place(rel), key))
     return _relation(df, types, F.col(name(key)))
 
 
@@ -43,7 +49,7 @@ def sorted_group_by(rel: Relation, key: int, aggregates: Aggregates) -> Relation
     """One row per run of equal neighbouring keys: per key where the input is sorted by it."""
     types = output_types(rel.types, aggregates)
     if rel.sorted_by[:1] == (key,):
-        df = rel.df.groupBy(name(key)).agg(*_columns(len(rel.types), aggregates, rel.place, key))
+        df = rel.df.groupBy(name(key)).agg(*_columns(len(rel.types), aggregates, _place(rel), key))
         return _relation(df, types, F.col(name(key)), (key,))
     df = Placed.of(rel).runs(key).groupBy("__run").agg(*_columns(len(rel.types), aggregates, F.col("__m"), None))
     return _relation(df, types, F.col("__run"))
@@ -52,5 +58,5 @@ def sorted_group_by(rel: Relation, key: int, aggregates: Aggregates) -> Relation
 def all_rows_group_by(rel: Relation, aggregates: Aggregates) -> Relation:
     """One row for the whole input, none for an empty one."""
     types = output_types(rel.types, aggregates)
-    df = rel.df.agg(*_columns(len(rel.types), aggregates, rel.place, None), F.count(F.lit(1)).alias("__n")).where("__n > 0")
+    df = rel.df.agg(*_columns(len(rel.types), aggregates, _place(rel), None), F.count(F.lit(1)).alias("__n")).where("__n > 0")
     return _relation(df, types, F.col("__n"))

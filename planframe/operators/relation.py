@@ -1,12 +1,13 @@
 """A relation: positional columns, their types, and how its rows are ordered.
 
-Row order matters to few operators (zip, witness rows, runs). The columns that define it
-ride along hidden, and the optimizer drops them wherever nothing asks for them.
+Row order matters to few operators (zip, witness rows, runs). The compiler knows where it
+does; only there do the columns that define it ride along hidden.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -27,7 +28,7 @@ def order_name(i: int) -> str:
 
 @dataclass(frozen=True)
 class Relation:
-    """``df`` has columns c0.. and the ``order`` columns, which together are unique.
+    """``df`` has columns c0.. and the ``order`` columns, which together are unique, or none where no order is needed.
 
     ``sorted_by`` lists the positions by which the rows are known to be sorted.
     """
@@ -64,10 +65,13 @@ class Relation:
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the session's shared folder; one of our own only where none is set."""
+    """Cut lineage in the session's shared folder; on one machine, one of our own where none is set."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "planframe-checkpoints"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "planframe-checkpoints"))
     return df.checkpoint(eager=True)
 
 

@@ -2,6 +2,6 @@
 
 from .compiler import compile_plan
 from .explain import to_dot
-from .ir import OPERATORS, PlanNode
+from .ir import OPERATORS, PlanNode, operator_metadata
 
-__all__ = ["OPERATORS", "PlanNode", "compile_plan", "to_dot"]
+__all__ = ["OPERATORS", "PlanNode", "compile_plan", "operator_metadata", "to_dot"]

@@ -40,6 +40,42 @@ OPERATORS: dict[str, OperatorInfo] = {
 }
 
 
+#: The operators' options.
+OPTIONS: dict[str, tuple[str, ...]] = {
+    "csv read": ("file", "types", "header", "multiline"),
+    "columnar read": ("file", "col", "type"),
+    "csv out": ("file", "header", "single_file"),
+    "columnar out": ("file",),
+    "project": ("cols",),
+    "filter": ("predicate",),
+    "loop join": ("predicate",),
+    "merge join": ("left_cols", "right_cols"),
+    "hash join": ("left_cols", "right_cols"),
+    "sort": ("cols",),
+    "union": (),
+    "sorted group by": ("col", "aggregates"),
+    "hashed group by": ("col", "aggregates"),
+    "all rows group by": ("aggregates",),
+}
+
+
+def operator_metadata() -> dict[str, dict[str, Any]]:
+    """What there is to know about each operator, as plain JSON values; ``inputs`` is null for any number from one."""
+    return {op: {"inputs": i.inputs, "reads": i.reads, "writes": i.writes, "options": list(OPTIONS[op])} for op, i in OPERATORS.items()}
+
+
+def check_inputs(op: str, got: int, path: str = "$") -> None:
+    want = OPERATORS[op].inputs
+    if got < 1 if want is None else got != want:
+        raise InvalidChildrenError(op, "one or more" if want is None else str(want), got, path)
+
+
+def check_file(op: str, has: bool, path: str = "$") -> None:
+    uses = OPERATORS[op].reads or OPERATORS[op].writes
+    if uses != has:
+        raise OperatorFileError(op, uses, path)
+
+
 @dataclass(frozen=True)
 class PlanNode:
     """A checked operator. ``types`` is None for a sink. ``args`` holds what lowering needs."""
@@ -112,10 +148,8 @@ class _Reader:
         children, options = spec.get("input") or [], spec.get("options") or {}
         if not isinstance(children, Sequence) or not isinstance(options, Mapping):
             raise PlanError("input is a list and options an object", path)
-        if len(children) != info.inputs and not (info.inputs is None and children):
-            raise InvalidChildrenError(op, "one or more" if info.inputs is None else str(info.inputs), len(children), path)
-        if (info.reads or info.writes) != isinstance(options.get("file"), str):
-            raise OperatorFileError(op, info.reads or info.writes, path)
+        check_inputs(op, len(children), path)
+        check_file(op, isinstance(options.get("file"), str), path)
         inputs = tuple(self.read(c, f"{path}.input[{i}]") for i, c in enumerate(children))
         if any(c.types is None for c in inputs):
             raise PlanError("a sink can't be an input", path)

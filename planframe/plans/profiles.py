@@ -19,8 +19,10 @@ def session_for(spark: SparkSession, profile: Profile) -> SparkSession:
     if profile != "literal":
         raise ValueError(f"unknown profile {profile!r}")
     own = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        own.conf.set(key, spark.conf.get(key))
+    for key, value in spark.conf.getAll.items():  # all that the user has set
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key) and own.conf.get(key, None) != value:
+            own.conf.set(key, value)
     for key, value in _LITERAL.items():
-        own.conf.set(key, value)
+        rules = spark.conf.get(key, "") if key.endswith("excludedRules") else ""
+        own.conf.set(key, ",".join(x for x in (rules, value) if x))
     return own

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import PlanError, PlanTypeError
 from ..operators.relation import Relation, name, order_name
@@ -17,10 +18,15 @@ def table_types(spark: SparkSession, path: str) -> list[LogicalType | None]:
     return [from_spark(f.dataType) for f in spark.read.parquet(path).schema.fields]
 
 
-def read_columns(spark: SparkSession, path: str, cols: Sequence[int], types: Sequence[LogicalType | None] | None = None, at: str = "$") -> Relation:
-    """Columns of one file by position, in one scan; declared types are checked."""
-    raw = spark.read.parquet(path)
-    fields = raw.schema.fields
+def read_columns(spark: SparkSession, path: str, cols: Sequence[int], types: Sequence[LogicalType | None] | None = None, at: str = "$", order: bool = True, known: dict[str, StructType] | None = None) -> Relation:
+    """Columns of one file by position, in one scan; declared types are checked.
+
+    ``order``: whether anything needs the rows' place in the file. ``known`` keeps the
+    schemas of files, which takes a job to read.
+    """
+    known = {} if known is None else known
+    raw = spark.read.schema(known[path]).parquet(path) if path in known else spark.read.parquet(path)
+    fields = known.setdefault(path, raw.schema).fields
     found = []
     for k, i in enumerate(cols):
         if i >= len(fields):
@@ -33,14 +39,13 @@ def read_columns(spark: SparkSession, path: str, cols: Sequence[int], types: Seq
         found.append(kind)
     df = raw.select(
         *[adapt(raw[fields[i].name], fields[i].dataType).alias(name(k)) for k, i in enumerate(cols)],
-        F.col("_metadata.file_path").alias(order_name(0)),
-        F.col("_metadata.row_index").alias(order_name(1)),
+        *([F.col("_metadata.file_path").alias(order_name(0)), F.col("_metadata.row_index").alias(order_name(1))] if order else []),
     )
-    return Relation(df, tuple(found), (order_name(0), order_name(1)))
+    return Relation(df, tuple(found), (order_name(0), order_name(1)) if order else ())
 
 
-def read_columnar(spark: SparkSession, path: str, col: int, kind: LogicalType | None = None, at: str = "$") -> Relation:
-    return read_columns(spark, path, [col], [kind], at)
+def read_columnar(spark: SparkSession, path: str, col: int, kind: LogicalType | None = None, at: str = "$", order: bool = True) -> Relation:
+    return read_columns(spark, path, [col], [kind], at, order)
 
 
 def write_columnar(rel: Relation, path: str, names: Sequence[str] | None = None) -> None:

@@ -13,20 +13,21 @@ from ..operators.relation import Relation, name, order_name
 from ..types import LogicalType
 
 
-def read_csv(spark: SparkSession, path: str, types: Sequence[LogicalType], header: bool = True, multiline: bool = True) -> Relation:
+def read_csv(spark: SparkSession, path: str, types: Sequence[LogicalType], header: bool = True, multiline: bool = True, order: bool = True) -> Relation:
     """Skip the header, parse each cell strictly, put the type's default where that fails.
 
     Rows with too few or too many cells raise an error. ``multiline`` allows line ends in
     quoted cells, for which a file is one task; turn it off for large files without such
-    cells, and each file is split. Rows are in the order of the file.
+    cells, and each file is split. Rows are in the order of the file, where ``order`` is
+    needed; files of a folder follow one another in no order that is promised.
     """
     schema = T.StructType([T.StructField(f"v{i}", T.StringType()) for i in range(len(types))])
     raw = spark.read.schema(schema).csv(path, header=header, multiLine=multiline, escape='"', mode="FAILFAST", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = raw.select(
         *[parse_cell(F.col(f"v{i}"), t).alias(name(i)) for i, t in enumerate(types)],
-        F.monotonically_increasing_id().alias(order_name(0)),
+        *([F.monotonically_increasing_id().alias(order_name(0))] if order else []),
     )
-    return Relation(df, tuple(types), (order_name(0),))
+    return Relation(df, tuple(types), (order_name(0),) if order else ())
 
 
 def write_csv(rel: Relation, path: str, header: Sequence[str] | None = None, single_file: bool = False) -> None:

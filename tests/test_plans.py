@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from planframe import Catalog, PlanBuilder, compile_plan, plan_from_join_order, to_dot
+from planframe import Catalog, PlanBuilder, compile_plan, operator_metadata, plan_from_join_order, rows_to_string, to_dot
 from planframe.cli import main
 from planframe.errors import InvalidChildrenError, OperatorFileError, PlanError, PlanTypeError, UnknownOperatorError
 
@@ -80,6 +80,20 @@ def test_builder():
         b.sort(plan).file("x")
     with pytest.raises(OperatorFileError):
         b.csv_read().to_json()
+    with pytest.raises(PlanError):
+        b.csv_read().having(clos=[1])
+    with pytest.raises(PlanError):
+        b.sort(plan).predicate({})
+    with pytest.raises(AttributeError):
+        b.sort(plan).clos([1])
+    half = b.csv_read().file("a")
+    assert half.types("i").to_json() != half.types("r").to_json() and "types" not in half.options
+
+
+def test_operator_metadata():
+    known = json.loads(json.dumps(operator_metadata()))
+    assert len(known) == 14 and known["union"] == {"inputs": None, "reads": False, "writes": False, "options": []}
+    assert known["csv read"]["reads"] and known["hash join"] == {"inputs": 2, "reads": False, "writes": False, "options": ["left_cols", "right_cols"]}
 
 
 def test_dot():
@@ -90,8 +104,8 @@ def test_dot():
 
 @pytest.fixture
 def files(tmp_path):
-    (tmp_path / "a.csv").write_text("h1,h2\n8650,x\n-9672,y\n9612,z\n")
-    (tmp_path / "b.csv").write_text("k,v,r\n" + "".join(f"{k},{i},{i / 2}\n" for i, k in enumerate([8650, 1, -9672, 8650, 2])))
+    (tmp_path / "a.csv").write_text("h1,h2\n40,x\n-17,y\n55,z\n")
+    (tmp_path / "b.csv").write_text("k,v,r\n" + "".join(f"{k},{i},{i / 2}\n" for i, k in enumerate([40, 1, -17, 40, 2])))
     return {"a": (str(tmp_path / "a.csv"), "it"), "b": (str(tmp_path / "b.csv"), "iir")}
 
 
@@ -107,7 +121,7 @@ def test_joins_agree(spark, files, profile):
         b.hash_join(*scans(files)).left_cols([0]).right_cols([0]),
     ]
     results = [sorted(map(tuple, p.compile().to_dataframe(spark, profile).collect())) for p in plans]
-    assert results[0] == results[1] == results[2] and [r[0] for r in results[0]] == [-9672, 8650, 8650]
+    assert results[0] == results[1] == results[2] and [r[0] for r in results[0]] == [-17, 40, 40]
 
 
 @pytest.mark.parametrize("op,shape", [("loop_join", "CartesianProduct"), ("merge_join", "SortMergeJoin"), ("hash_join", "BuildLeft")])
@@ -128,19 +142,40 @@ def test_literal_plans_keep_the_join_order(spark, files):
     assert spark.conf.get("spark.sql.optimizer.excludedRules", "") == ""
 
 
-def test_readme_plan(spark, tmp_path):
-    (tmp_path / "agg.csv").write_text("a,b,c\n" + "".join(f"{i % 3},{i},{i / 4}\n" for i in range(30)))
-    plan = node(
-        "project",
-        {"cols": [0, 3, 4, 5]},
-        node(
-            "hashed group by",
-            {"col": 0, "aggregates": [{"op": "min", "col": 1}, {"op": "max", "col": 1}, {"op": "count", "col": 1}]},
-            {"op": "csv read", "options": {"file": str(tmp_path / "agg.csv"), "types": ["INTEGER", "INTEGER", "REAL"]}},
-        ),
-    )
-    got = compile_plan(json.dumps(plan)).run(spark).collect()
-    assert sorted(map(tuple, got)) == [(0, 0, 27, 10), (1, 1, 28, 10), (2, 2, 29, 10)]
+def test_plan_as_text(spark, tmp_path):
+    (tmp_path / "sales.csv").write_text("shop,price,item\n" + "".join(f"{i % 4},{i / 2},item {i}\n" for i in range(20)))
+    cheap = node("filter", {"predicate": {"op": "lt", "col": 1, "val": 6.0}}, {"op": "csv read", "options": {"file": str(tmp_path / "sales.csv"), "types": ["INTEGER", "REAL", "TEXT"]}})
+    per_shop = node("sorted group by", {"col": 0, "aggregates": [{"op": "sum", "col": 1}, {"op": "min", "col": 2}]}, node("sort", {"cols": [0]}, cheap))
+    plan = json.dumps(node("project", {"cols": [4, 0, 3]}, per_shop))
+    got = compile_plan(plan).run(spark).collect()
+    assert sorted(map(tuple, got)) == [("item 0", 0, 6.0), ("item 1", 1, 7.5), ("item 10", 2, 9.0), ("item 11", 3, 10.5)]
+
+
+def test_witness_rows_come_first_in_the_input(spark, tmp_path):
+    """Also where only a witness column is asked for, above a sort, a filter and a join."""
+    spark.range(60).selectExpr("id % 5 as k", "60 - id as v", "cast(id as string) as s").coalesce(1).write.parquet(str(tmp_path / "p"))
+    read = b.union(*[b.columnar_read().file(str(tmp_path / "p")).col(i).type(t) for i, t in enumerate(["INTEGER", "INTEGER", "TEXT"])])
+    first = b.project(b.hashed_group_by(b.filter(read).predicate({"op": "lt", "col": 1, "val": 50})).col(0).aggregates([{"op": "count", "col": 0}])).cols([0, 2])
+    assert sorted(map(tuple, first.compile().to_dataframe(spark).collect())) == [(0, "15"), (1, "11"), (2, "12"), (3, "13"), (4, "14")]
+    least = b.project(b.sorted_group_by(b.sort(read).cols([0, 1])).col(0).aggregates([{"op": "count", "col": 0}])).cols([2, 3])
+    assert sorted(map(tuple, least.compile().to_dataframe(spark).collect())) == [(str(i), 12) for i in range(55, 60)]
+    runs = b.project(b.sorted_group_by(read).col(0).aggregates([{"op": "count", "col": 0}])).cols([0, 3])
+    assert runs.compile().to_dataframe(spark).count() == 60
+
+
+def test_literal_plans_keep_the_settings_of_the_session(spark, files):
+    from planframe.plans.profiles import session_for
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12345")
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.CollapseWindow")
+    try:
+        own = session_for(spark, "literal")
+        assert own.conf.get("spark.sql.autoBroadcastJoinThreshold") == "12345"
+        rules = own.conf.get("spark.sql.optimizer.excludedRules")
+        assert "CollapseWindow" in rules and "ReorderJoin" in rules
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
 
 
 def test_zip_of_one_file_is_one_scan(spark, tmp_path):
@@ -158,7 +193,7 @@ def test_zip_of_one_subtree_is_one_select(spark, files):
     z = b.union(b.project(a).cols([1]), b.project(a).cols([0]))
     df = z.compile().to_dataframe(spark)
     assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
-    assert [tuple(r) for r in df.collect()] == [("x", 8650), ("y", -9672), ("z", 9612)]
+    assert [tuple(r) for r in df.collect()] == [("x", 40), ("y", -17), ("z", 55)]
 
 
 def test_unused_witness_columns_are_not_read(spark, tmp_path):
@@ -174,6 +209,10 @@ def test_join_order_plans(spark, files):
         c.add(name, path, letters)
     with pytest.raises(ValueError):
         c.add("a", "x", "i")
+    with pytest.raises(PlanError):
+        c.add("z", "x", "i", "tape")
+    c.add("p", "somewhere/p", "it")
+    assert c.reader_for("p", [1]).to_json() == {"op": "union", "input": [{"op": "columnar read", "options": {"file": "somewhere/p", "col": 1, "type": "TEXT"}}]}
     plan = plan_from_join_order(c, ["b", "a"], ["a.0 = b.0", "b.1 > 0", 'a.1 contains "x" or b.2 < 1.5'], [("a", 1), ("b", 1)])
     spec = json.dumps(plan.to_json())
     assert '"hash join"' in spec and spec.count('"filter"') == 2
@@ -189,7 +228,11 @@ def test_cli(spark, files, tmp_path, capsys):
     path = tmp_path / "plan.json"
     path.write_text(b.project(scans(files)[0]).cols([1, 0]).dumps())
     assert main([str(path)]) == 0
-    assert capsys.readouterr().out == "x 8650\ny -9672\nz 9612\n"
+    assert capsys.readouterr().out == "x 40\ny -17\nz 55\n"
+    assert main([str(path), "--sort"]) == 0 and capsys.readouterr().out == "x 40\ny -17\nz 55\n"
+    assert main(["--operators"]) == 0 and '"csv read"' in capsys.readouterr().out
+    plan = b.sort(scans(files)[0]).cols([0]).compile()
+    assert list(rows_to_string(plan.to_dataframe(spark), plan.root.types)) == ["-17 y", "40 x", "55 z"]
     assert main([str(path), "--dot"]) == 0 and "digraph" in capsys.readouterr().out
     path.write_text(b.csv_out(scans(files)[0]).file(str(tmp_path / "o")).dumps())
     assert main([str(path)]) == 0 and "no rows" in capsys.readouterr().out

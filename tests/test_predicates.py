@@ -21,11 +21,11 @@ def keep(spark, letters, data, spec):
 
 
 def test_and_or_not(spark):
-    data = [(1, 6.0), (5, 6.0), (1, 4.0)]
-    lt, gt = {"op": "lt", "col": 0, "val": 4}, {"op": "gt", "col": 1, "val": 5.0}
-    assert keep(spark, "ir", data, {"op": "and", "children": [lt, gt]}) == [(1, 6.0)]
-    assert keep(spark, "ir", data, {"op": "or", "children": [lt, gt]}) == data
-    assert keep(spark, "ir", data, {"op": "not", "children": [gt]}) == [(1, 4.0)]
+    data = [("red", 10), ("red", 30), ("blue", 10), ("blue", 30)]
+    red, many = {"op": "contains", "col": 0, "val": "red"}, {"op": "gt", "col": 1, "val": 20}
+    assert keep(spark, "ti", data, {"op": "and", "children": [red, many]}) == [("red", 30)]
+    assert keep(spark, "ti", data, {"op": "or", "children": [red, many]}) == [("red", 10), ("red", 30), ("blue", 30)]
+    assert keep(spark, "ti", data, {"op": "not", "children": [red]}) == data[2:]
 
 
 @pytest.mark.parametrize("op,expected", [("lt", [(1, 2)]), ("gt", [(3, 2)]), ("eq", [(2, 2)])])

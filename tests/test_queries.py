@@ -1,6 +1,7 @@
 """Every registered query of the plan engine against its SQL, at the smallest scale."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -33,7 +34,19 @@ def test_entry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("name,shape", [("hash_join_2key_literal", "ShuffledHashJoin"), ("merge_join_unsorted_literal", "SortMergeJoin"), ("bench_merge_join_literal", "SortMergeJoin"), ("loop_join_equi_literal", "CartesianProduct"), ("cross_join_empty_keys_literal", "CartesianProduct|BroadcastNestedLoopJoin"), ("flagship_literal", "ShuffledHashJoin")])
+def test_literal_queries_use_the_joins_they_name(spark, name, shape):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(shape, plan) and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["bench_hash_agg", "bench_sort_agg", "bench_merge_join", "flagship"])
+def test_scans_read_no_order_where_none_matters(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "row_index" not in plan and "file_path" not in plan
+
+
 def test_two_key_join_of_whole_tables(spark):
     """Each line meets itself at least, whatever its number."""
-    rows = QUERIES["hash_join_2key_whole"](spark, DATA).select("l_orderkey", "l_linenumber").distinct().count()
+    rows = QUERIES["hash_join_2key"](spark, DATA).select("l_orderkey", "l_linenumber").distinct().count()
     assert rows == spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
