@@ -1,6 +1,10 @@
+import math
 import os
 import random
+import zlib
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from llm_helpers import DOCS, ODD, clashing, documents
 from pyspark.sql import functions as F
@@ -30,24 +34,104 @@ def trained(spark):
 
 def test_held_out(spark, trained):
     docs, table, model = trained
-    got = quality.classify(docs, model).join(table, "doc_id").where(quality.fold(F.col("doc_id")) == 0).toPandas()
+    got = quality.classify(docs, model, table).join(table, "doc_id").where(quality.fold(F.col("doc_id")) == 0).toPandas()
     assert len(got) > 80 and (got["kept"] == (got["quality"] == 1)).mean() > 0.97
 
 
-def test_sites_pull_towards_their_rates(spark, trained):
-    docs, _, model = trained
-    got = quality.classify(docs, model).select("host_rate", "path_rate", "score", "evidence", F.col("doc_id") % 3).toPandas()
-    rates = got.groupby(got.columns[-1])["path_rate"].first()
-    assert rates[0] < rates[1] and rates[0] < rates[2] and 0.2 < rates[0] < 0.5
-    same = got[(got["evidence"] > 0.05) & (got["evidence"] < 0.95)]
-    assert (same[same.iloc[:, -1] == 0]["score"] <= same[same.iloc[:, -1] == 0]["evidence"]).all()
+def kappa(groups):
+    """Prior weight by moments from (n, k, parent's rate)."""
+    groups = [g for g in groups if g[0] > 0 and 0 < g[2] < 1]
+    excess = sum(n * (k / n - m) ** 2 / (m * (1 - m)) - 1 for n, k, m in groups)
+    spread = sum(n - 1 for n, _, _ in groups)
+    return 1 / max(1e-4, min(0.999, excess / spread if spread else 1e-4)) - 1
+
+
+def brute(rows, labels, evidence):
+    """(host rate, path rate, score) of each row, level by level in plain Python."""
+    y = {}
+    for i, label, _ in labels:
+        if i is not None and label is not None and zlib.crc32(str(i).encode()) % 5:
+            y[i] = min(label, y.get(i, 1))
+    counts = defaultdict(lambda: [0, 0])
+    for i, _, lang, source, _ in rows:
+        if i in y:
+            for key in ((), (source,), (source, lang)):
+                counts[key][0] += 1
+                counts[key][1] += y[i]
+    n, k = counts[()]
+    hosts, paths = {(r[3],) for r in rows}, {(r[3], r[2]) for r in rows}
+    kappa_host = kappa([(*counts[h], k / n) for h in hosts])
+    mean = {h: (counts[h][1] + kappa_host * k / n) / (counts[h][0] + kappa_host) for h in hosts}
+    kappa_path = kappa([(*counts[p], mean[p[:1]]) for p in paths])
+    out = []
+    for (i, _, lang, source, _), e in zip(rows, evidence, strict=True):
+        one, own = int(i in y), y.get(i, 0)
+        m = (k - own) / (n - one)
+        host = (counts[(source,)][1] - own + kappa_host * m) / (counts[(source,)][0] - one + kappa_host)
+        path = (counts[(source, lang)][1] - own + kappa_path * host) / (counts[(source, lang)][0] - one + kappa_path)
+        odds = math.log(e / (1 - e)) + math.log(path / (1 - path)) - math.log(m / (1 - m))
+        out.append((host, path, 1 / (1 + math.exp(-odds))))
+    return out
+
+
+def sites_corpus(n, seed=6):
+    """Texts that say nothing: only hosts and their paths differ, some with few documents."""
+    rng, rows, labels = random.Random(seed), [], []
+    rate = {(h, p): min(0.97, max(0.03, rng.choice([0.08, 0.92]) + rng.gauss(0, 0.04))) for h in range(6) for p in ("en", "fr", None)}
+    for i in range(n):
+        site = (rng.choice([0, 0, 0, 1, 1, 2, 3, 4, 5]), rng.choice(["en", "en", "fr", None]))
+        text = " ".join(rng.choice(["the", "river", "runs", "along", "hill"]) for _ in range(12))
+        rows.append((i, text, site[1], f"h{site[0]}" if site[0] < 5 else None, 0))
+        labels.append((i, int(rng.random() < rate[site]), 0))
+    return rows, labels
+
+
+def test_against_brute_force_where_sites_decide(spark):
+    rows, labels = sites_corpus(900)
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (5, 0, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    labels = [*labels, (5, 0, 0)]
+    got = {r["doc_id"]: r for r in quality.classify(docs, quality.train(docs, table), table).collect()}
+    expected = brute(rows, labels, [got[r[0]]["evidence"] for r in rows])
+    for r, e in zip(rows, expected, strict=True):
+        assert (got[r[0]]["host_rate"], got[r[0]]["path_rate"], got[r[0]]["score"]) == pytest.approx(e, abs=1e-9)
+    truth = {i: y for i, y, _ in labels[:900]}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    with_sites = sum(got[i]["kept"] == bool(truth[i]) for i in held) / len(held)
+    alone = sum((got[i]["evidence"] >= 0.5) == bool(truth[i]) for i in held) / len(held)
+    assert with_sites > 0.8 and with_sites > alone + 0.15
+
+
+def test_own_outcome_is_left_out(spark):
+    """Two documents alike but for their own labels: the rates of each hold the other's."""
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5][:2]
+    docs = spark.createDataFrame([(ids[0], "a", "en", "s", 0), (ids[1], "a", "en", "s", 0)], DOCS)
+    table = spark.createDataFrame([(ids[0], 1, 0), (ids[1], 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["host_rate"] for r in quality.classify(docs, quality.Classifier(), table).collect()}
+    assert got == pytest.approx({ids[0]: 0.0, ids[1]: 1.0})
+
+
+def test_word_weights_by_hand():
+    buckets = [np.array([1, 2, 2]), np.array([2]), np.array([3])]
+    w = quality.bucket_weights(buckets, np.array([1, 0, 1]))
+    assert w[1] == pytest.approx(math.log((2 / 4) / (1 / 3))) and w[2] == pytest.approx(math.log((2 / 4) / (2 / 3))) and w[9] == pytest.approx(math.log((1 / 4) / (1 / 3)))
+    x = quality.features(np.zeros((3, 12)), [np.array([1, 2]), np.array([], int), np.array([3])], w)
+    assert x[:, 12].tolist() == pytest.approx([(w[1] + w[2]) / 2, 0, w[3]]) and x[0, 13] == pytest.approx((w[1] + w[2]) / math.sqrt(2))
+
+
+def test_words_are_evidence(spark):
+    """The shape is the same; only words tell good from bad."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "delta"] if i % 2 else ["gamma", "kappa"]) if rng.random() < 0.3 else rng.choice(["seven", "eight"]) for _ in range(30)), "en", "s", 0) for i in range(400)]
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, quality.train(docs, table), table).where(quality.fold(F.col("doc_id")) == 0).collect()
+    assert sum(r["kept"] == bool(r["doc_id"] % 2) for r in got) > 0.95 * len(got)
 
 
-def test_sparse_sites_stay_near_their_parent(spark, trained):
-    _, _, model = trained
-    docs = spark.createDataFrame([(i, "the river runs along", "en", "big", 0) for i in range(300)] + [(1000, "x### y### z###", "fr", "lone", 0)], DOCS)
-    got = {r["doc_id"]: r for r in quality.classify(docs, model).collect()}
-    assert got[1000]["host_rate"] > got[1000]["evidence"]
+def test_repeated_ids_are_fitted_once(spark):
+    rows, labels = corpus(80)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, many = spark.createDataFrame(rows, DOCS), spark.createDataFrame(rows + rows[:9] * 50, DOCS)
+    assert quality.train(one, table).coef.tolist() == pytest.approx(quality.train(many, table).coef.tolist())
 
 
 def test_strength_by_hand(spark):
@@ -59,26 +143,27 @@ def test_strength_by_hand(spark):
 
 
 def test_odd_rows(spark, trained):
-    got = quality.classify(clashing(documents(spark, ODD)), trained[2]).collect()
+    got = quality.classify(clashing(documents(spark, ODD)), trained[2], trained[1]).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     nulls = spark.createDataFrame([(1, "a", None, None, 1), (2, "a", None, "s", 1), (3, None, "en", None, 1), (None, "b", None, None, None)], DOCS)
-    assert quality.classify(nulls, trained[2]).count() == 4
+    assert quality.classify(nulls, trained[2], trained[1]).count() == 4
 
 
 @pytest.mark.parametrize("labels", [[], [(0, 0, 0)], [(0, 1, 0), (1, 1, 0)], [(None, 1, 1), (1, None, None)]])
 def test_few_labels(spark, labels):
     docs = documents(spark, ["a b", "c d", None])
-    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert quality.classify(docs, model).count() == 3
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, quality.train(docs, table), table).collect()
+    assert len(got) == 3 and all(0 <= r["score"] <= 1 for r in got)
 
 
 def test_empty_table(spark, trained):
-    assert quality.classify(spark.createDataFrame([], DOCS), trained[2]).count() == 0
+    assert quality.classify(spark.createDataFrame([], DOCS), trained[2], trained[1]).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
 def test_on_the_test_tables(spark):
     d = "/root/testdata/sf0.01"
     docs, table = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    got = quality.classify(docs, quality.train(docs, table)).join(table, "doc_id").where(quality.fold(F.col("doc_id")) == 0).toPandas()
+    got = quality.classify(docs, quality.train(docs, table), table).join(table, "doc_id").where(quality.fold(F.col("doc_id")) == 0).toPandas()
     assert (got["kept"] == (got["quality"] == 1)).mean() > 0.95
