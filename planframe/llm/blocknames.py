@@ -4,7 +4,9 @@ Every text is cut into blocks of ``block_bytes`` UTF-8 bytes. The distinct block
 sorted and numbered; then, level by level, the distinct pairs of adjacent numbers are
 sorted and numbered, until one number is left for each document. Equal numbers at the
 same level mean equal texts and unequal ones unequal texts: the names are positions in
-a sorted list of distinct values, not digests, so they cannot collide.
+sorted lists of distinct values, not digests, so they cannot collide. Each partition has a
+list of its own and a name says which, so names depend on the number of partitions; which
+texts have the same name does not.
 
 Scale: whole texts are shuffled once (distinct blocks, collapsed before the shuffle).
 Everything else moves rows of a few integers. A block reaches its name by a 64-bit key;
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, stable
 
 BLOCK_BYTES = 32768
 
@@ -88,14 +90,16 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = stable(docs.select(id_col, text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
-    # one small checkpoint holds each row's number, so that all readers agree on it
     facts = checkpoint(rows.select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")))
     names = block_names(rows, F.col("text"), F.col("row"), block_bytes, block_key).withColumnRenamed("key", "row")
     named = checkpoint(facts.join(names, "row"))
     groups = named.groupBy("level", "name").agg(
         F.count("*").alias("group_size"), F.max(F.struct(F.col("doc_id").alias("id"), F.col("row").alias("row"))).alias("keep")
     )
+    # with both sides plain, adaptive execution can split the rows of a large group
+    groups = checkpoint(groups)
     return named.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("keep.id").alias("keep_id"),

@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, utf8
+from .common import free_names, mix, utf8
 from .pretokens import splitter
 
-MEMO_ENTRIES = 500_000
+#: The memo starts anew beyond so many entries, or so many bytes of pre-tokens and ids.
+MEMO_ENTRIES, MEMO_BYTES = 500_000, 1 << 26
 _U = np.uint64
 
 
@@ -52,12 +53,14 @@ class PerfectHash:
     of each string among the keys, or -1; it compares the bytes, so it is exact.
     """
 
-    LONGEST = 256  # longer strings are no keys and aren't hashed
+    LONGEST = 256  # longer strings are no keys and aren't hashed; a vocabulary with one is refused
 
     def __init__(self, strings: list[bytes]):
         column = pa.array(strings, pa.binary())
         self.data, self.offsets = utf8(column)
         n = self.n = len(strings)
+        if max(map(len, strings), default=0) > self.LONGEST:
+            raise ValueError(f"a vocabulary string has more than {self.LONGEST} bytes")
         self.buckets = max(1, n // 4)
         keys = _keys(self.data, self.offsets)
         if len(np.unique(keys)) != n:
@@ -125,7 +128,7 @@ class Codec:
         self._ready = False
 
     def __getstate__(self):
-        return self.__dict__ | {"_ready": False, "memo": None, "pairs": None, "two": None, "single": None, "text_data": None, "text_start": None, "text_size": None}
+        return self.__dict__ | {"_ready": False, "memo": None, "memo_bytes": 0, "pairs": None, "two": None, "single": None, "text_data": None, "text_start": None, "text_size": None}
 
     def prepare(self) -> None:
         """What the merges and decoding need; made in the worker, once."""
@@ -148,6 +151,7 @@ class Codec:
         self.text_size = np.zeros_like(self.text_start)
         self.text_start[self.ids[order]], self.text_size[self.ids[order]] = offsets[:-1], np.diff(offsets)
         self.memo: dict[str, bytes] = {}
+        self.memo_bytes = 0
         self._ready = True
 
     def merge(self, piece: bytes) -> list[int]:
@@ -192,13 +196,18 @@ class Codec:
         found = self.hash.find(data, offsets)
         ids, memo, merge = self.ids.tolist(), self.memo, self.merge
         for piece, at in zip(new, found.tolist(), strict=True):
-            memo[piece] = array("I", (ids[at],) if at >= 0 else merge(piece.encode())).tobytes()
+            memo[piece] = own = array("I", (ids[at],) if at >= 0 else merge(piece.encode())).tobytes()
+            self.memo_bytes += len(piece) + len(own)
+
+    def _trim(self) -> None:
+        if len(self.memo) > MEMO_ENTRIES or self.memo_bytes > MEMO_BYTES:
+            self.memo.clear()
+            self.memo_bytes = 0
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         self.prepare()
         split, out = splitter(self.pattern), []
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        self._trim()
         pieces, new, size = [], set(), 0
         for i, text in enumerate(texts):
             pieces.append(own := split(text))
@@ -210,8 +219,7 @@ class Codec:
                 get = self.memo.__getitem__
                 out += [b"".join(map(get, p)) for p in pieces]
                 pieces, new, size = [], set(), 0
-                if len(self.memo) > MEMO_ENTRIES:
-                    self.memo.clear()
+                self._trim()
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -257,7 +265,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n, pa.array(ids, pa.binary())], [*keep, "n_tokens", "token_ids"])
 
-    chosen = docs.select(*keep, F.col(text_col).alias("__text"))
+    (text,) = free_names(docs.select(*keep), "text")
+    chosen = docs.select(*keep, F.col(text_col).alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return chosen.mapInArrow(work, f"{schema}, n_tokens long, token_ids binary")
 
@@ -265,7 +274,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode every text, decode the ids.
 
-    Null counts as empty. Digests are lower-case hex.
+    Null counts as empty. Digests are lower-case hex. Repeated rows stay and equal texts
+    agree; an empty table gives an empty result. Other columns are not read.
     """
     made, key = codec(path, pattern), (path, pattern)
 

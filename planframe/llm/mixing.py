@@ -6,15 +6,15 @@ With sources sorted by (cap / weight) the capped ones are a prefix, so one runni
 over the sources' totals finds the level; nothing is iterated.
 
 Within a source every document expects ``target / size`` copies. The documents are laid
-out by size, their expected copies summed along that order, one offset added, and each
-crossed integer emits a copy. As documents of like size are neighbours, the words taken
-come near the target. The offset is one of ``TURNS`` even rotations of a number drawn from a
-digest of the source and the seed: the one whose words come nearest the target, which
-matters for small sources with one very long document.
-
-Scale: the order within a source is (size class, slot by id digest, size, id), with
-``SLOTS`` slots to each size class, so a source that holds a third of all rows is spread
-over many groups; the groups' counts are summed on a table of one row for each group.
+out by size, their expected copies summed along that order, one random offset added, drawn
+for each source from a digest of its name and the seed, and each crossed integer emits a
+copy. So every document expects the same over the seeds, and as documents of like size are
+neighbours, the words taken differ from the target by no more than the longest document.
+
+Scale: the order within a source is (size class, slot by id digest, size, id, text digest),
+with more slots the more rows there are, so a source that holds a third of all rows is
+spread over many groups of bounded size; the groups' counts are summed on a table of one
+row for each group.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-SLOTS = 64
-TURNS = 16
+#: Slots of each size class: as many at least, and one for so many rows of the table.
+LEAST_SLOTS, ROWS_A_SLOT = 64, 1 << 18
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3.0
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,19 +77,25 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     ``row``. Null text has size 0; a null source is a source of its own, last in order;
     null ids are one id. Documents without words take part and add no words. Repeated
     rows count one by one. No document is taken more than ``ceil(max_repeat)`` times.
-    Runs agree, as nothing but the rows' values decides.
+    Runs agree, as nothing but the rows' values and their number decides.
     """
     size = word_count(F.col(text_col))
+    slots = max(LEAST_SLOTS, -(-docs.count() // ROWS_A_SLOT))
+    # rows of one id and size go by their text, and where whole rows are carried by these
+    ties = [F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("tie")]
+    if carry:
+        ties = [F.xxhash64(*carry).alias("tie")]
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         size.alias("size"),
+        *ties,
         *([F.struct(*[F.col(c) for c in carry]).alias("row")] if carry else []),
     )
     bits = F.length(F.bin("size"))
     # size class: bit length and the next three bits
     band = bits * 8 + F.when(bits > 3, F.expr("shiftrightunsigned(size, cast(length(bin(size)) - 4 as int)) & 7L")).otherwise(F.col("size"))
-    slot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")).cast("binary")), 9, 7), 16, 10).cast("long") % SLOTS
+    slot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")).cast("binary")), 9, 7), 16, 10).cast("long") % slots
     base = base.withColumn("band", band.cast("long")).withColumn("slot", slot)
     if not carry:  # whole rows are read again rather than stored twice
         base = checkpoint(base)
@@ -107,7 +113,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
         .withColumn("part", each - F.col("whole"))
     )
     placed = checkpoint(placed)
-    within = Window.partitionBy(*key).orderBy("size", "doc_id")
+    within = Window.partitionBy(*key).orderBy("size", "doc_id", "tie")
     b, p = base.withColumn("nth", F.row_number().over(within)).alias("b"), placed.alias("p")
     same = F.col("b.source").eqNullSafe(F.col("p.source")) & (F.col("b.band") == F.col("p.band")) & (F.col("b.slot") == F.col("p.slot"))
     x = b.join(p, same).select("b.*", "p.source_size", "p.target", "p.whole", "p.part", (F.col("p.before") + F.col("b.nth")).alias("at"))
@@ -115,13 +121,6 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     def crossed(offset):
         return F.least(F.floor(offset + F.col("at") * F.col("part")) - F.floor(offset + (F.col("at") - 1) * F.col("part")), F.lit(1))
 
-    start = _fraction(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")), seed)
-    turned = [F.when(start + k / TURNS >= 1, start + k / TURNS - 1).otherwise(start + k / TURNS) for k in range(TURNS)]
-    tried = x.groupBy("source").agg(
-        F.first("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("sure"), *[F.sum(crossed(o) * F.col("size")).alias(f"t{k}") for k, o in enumerate(turned)]
-    )
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col("sure") + F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(turned)]))
-    o = checkpoint(tried.select("source", best["offset"].alias("offset"))).alias("o")
-    x = x.alias("x").join(o, F.col("x.source").eqNullSafe(F.col("o.source"))).select("x.*", "o.offset")
-    x = x.withColumn("copies", (F.col("whole") + crossed(F.col("offset"))).cast("long"))
+    offset = _fraction(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")), seed)
+    x = x.withColumn("copies", (F.col("whole") + crossed(offset)).cast("long"))
     return x.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if carry else []))

@@ -12,14 +12,14 @@ def _hex(value: str, start: int) -> str:
 
 def _mix_sql() -> str:
     start = _hex("'1:' || coalesce('s' || source, '')", 1) + " / 268435456.0"
-    turned = f"case when {start} + k / 16.0 >= 1 then {start} + k / 16.0 - 1 else {start} + k / 16.0 end"
+    slots = "greatest(64, ((select count(*) from documents) + 262143) // 262144)"
     crossed = "least(floor(o + pos * part) - floor(o + (pos - 1) * part), 1)"
     return rf"""
-with recursive d as (
-    select doc_id, source, coalesce(len({_WORDS.format(text="text")}), 0)::bigint as size from documents
+with d as (
+    select doc_id, source, coalesce(len({_WORDS.format(text="text")}), 0)::bigint as size, md5(coalesce(text, '')) as tie from documents
 ), based as (
     select *, length(bin(size)) * 8 + case when length(bin(size)) > 3 then (size >> (length(bin(size)) - 4)::int) & 7 else size end as band,
-        {_hex("'1:' || coalesce(doc_id::varchar, '') || ':' || size::varchar", 9)} % 64 as slot
+        {_hex("'1:' || coalesce(doc_id::varchar, '') || ':' || size::varchar", 9)} % {slots} as slot
     from d
 ), s as (
     select source, sum(size)::bigint as source_size from d group by source
@@ -40,16 +40,12 @@ with recursive d as (
     select *, floor(per) as whole, per - floor(per) as part from e
 ), x as (
     select b.doc_id, b.source, b.size, f.source_size, f.target, f.whole, f.part,
-        row_number() over (partition by b.source order by b.band, b.slot, b.size, b.doc_id) as pos
+        row_number() over (partition by b.source order by b.band, b.slot, b.size, b.doc_id, b.tie) as pos
     from based b join f on b.source is not distinct from f.source
-), tried as (
-    select source, k, o, abs(sum(whole * size) + sum({crossed} * size) - any_value(target)) as off
-    from (select x.*, k, {turned} as o from x, range(16) r(k)) group by source, k, o
-), best as (
-    select source, arg_min(o, (off, k)) as o from tried group by source
+), offsets as (
+    select *, {start} as o from x
 )
-select x.doc_id, x.source, x.size, x.source_size, x.target, (whole + {crossed})::bigint as copies, (whole + {crossed})::bigint * x.size as taken
-from x join best on x.source is not distinct from best.source"""
+select doc_id, source, size, source_size, target, (whole + {crossed})::bigint as copies, (whole + {crossed})::bigint * size as taken from offsets"""
 
 
 def _line_sql() -> str:

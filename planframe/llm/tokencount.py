@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .pretokens import splitter
 
-MEMO_ENTRIES = 600_000
+#: The memo starts anew beyond so many entries, or so many characters of pre-tokens not proven whole.
+MEMO_ENTRIES, MEMO_CHARS = 600_000, 1 << 25
 
 
 def _byte_letters() -> dict[str, int]:
@@ -73,18 +74,17 @@ def prove(path: str, pattern: str) -> tuple[frozenset[str], tuple[str, ...]]:
 class Counter:
     def __init__(self, path: str, pattern: str, proven: frozenset[str], special: tuple[str, ...]):
         self.path, self.pattern, self.proven, self.special = path, pattern, proven, special
-        self.library, self.memo = None, {}
+        self.library, self.memo, self.memo_chars = None, {}, 0
         self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def __getstate__(self):
-        return self.__dict__ | {"library": None, "memo": {}}
+        return self.__dict__ | {"library": None, "memo": {}, "memo_chars": 0}
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; an added special string within a text counts as one."""
         split = splitter(self.pattern)
         self.library = self.library or _library(self.path)
-        if len(self.memo) > MEMO_ENTRIES or not self.memo:
-            self.memo = dict.fromkeys(self.proven, 1)
+        self._trim()
         out = []
         for text in texts:
             parts = [text] if self.cut is None or not self.cut.search(text) else self.cut.split(text)
@@ -94,10 +94,16 @@ class Counter:
                 if new := list(set(pieces).difference(self.memo)):
                     for piece, coded in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
                         self.memo[piece] = len(coded.ids)
+                        self.memo_chars += len(piece)
                 total += sum(map(self.memo.__getitem__, pieces))
             out.append(total)
+            self._trim()
         return out
 
+    def _trim(self) -> None:
+        if len(self.memo) > MEMO_ENTRIES or self.memo_chars > MEMO_CHARS or not self.memo:
+            self.memo, self.memo_chars = dict.fromkeys(self.proven, 1), 0
+
 
 _counters: dict[tuple, Counter] = {}
 

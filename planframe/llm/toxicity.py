@@ -132,7 +132,7 @@ def _options(run: str) -> list[tuple[str, float, list[int]]]:
 class Restorer:
     """Viterbi decoding of a disguised word under the character language model."""
 
-    MEMO_ENTRIES = 200_000
+    MEMO_ENTRIES, MEMO_LONGEST = 200_000, 256
 
     def __init__(self, counts: np.ndarray):
         # each order is smoothed towards the next shorter one
@@ -162,7 +162,9 @@ class Restorer:
         if found is None:
             if len(self.memo) >= self.MEMO_ENTRIES:
                 self.memo.clear()
-            found = self.memo[word] = self._search(word)
+            found = self._search(word)
+            if len(word) <= self.MEMO_LONGEST:
+                self.memo[word] = found
         return found
 
     def _search(self, word: str) -> str:
@@ -403,7 +405,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     At most ``fit_rows`` of each class and part, chosen by a hash of the id, weighted back
     to the classes' true counts. Null labels and ids are left out; of several labels of
-    an id the highest counts. Where a part lacks a class, both parts are used for both;
+    an id the highest counts. Of repeated ids the least text is fitted, once; null and empty
+    texts are texts without words. Where a part lacks a class, both parts are used for both;
     where a class has no row at all, every score is the share of the other.
     """
     restorer = Restorer(letter_counts(docs, text_col))
@@ -423,7 +426,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             some = known.where((F.col("y") == y) & (F.col("part") == part)).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
             chosen = some if chosen is None else chosen.unionByName(some)
     # bounded by 4 * fit_rows rows of an id and two numbers
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "y", "part")), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen.select("id", "y", "part")), "id")
+    rows = rows.groupBy("id", "y", "part").agg(F.min("text").alias("text"))  # one row of an id, whatever its repeats
     empty = [k for k in ((0, 0), (0, 1), (1, 0), (1, 1)) if not true.get(k)]
     model = Model(restorer, np.zeros(BUCKETS))
     share = sum(true.get((1, p), 0) for p in (0, 1)) / max(1, sum(true.values()))

@@ -31,7 +31,7 @@ def clashing(df):
     """The table with columns named like those that operators make or keep inside."""
     from pyspark.sql import functions as F
 
-    for c in ("row", "n", "sid", "size", "copies", "taken", "band", "slot", "token", "kept", "name", "level", "key", "h", "score", "n_lines", "evidence", "host", "path", "comp", "class", "id", "range", "guest", "__row", "__lines", "offset"):
+    for c in ("row", "n", "sid", "size", "copies", "taken", "band", "slot", "token", "kept", "name", "level", "key", "h", "score", "n_lines", "evidence", "host", "path", "comp", "class", "id", "range", "guest", "__row", "__lines", "__copy", "__text", "__losing", "__words", "n_removed", "offset"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 

@@ -91,3 +91,27 @@ def test_rows_are_carried(spark):
     docs = documents(spark, [f"w{i} x" for i in range(50)])
     got = mixing.mix(docs, carry=docs.columns).select("row.*").collect()
     assert sorted(got) == sorted(docs.collect())
+
+
+def test_every_document_expects_the_same_over_seeds(spark):
+    """One random offset: each is taken target / size times on average, long ones too."""
+    docs = spark.createDataFrame([(i, "w " * (400 if i < 4 else 1 + i % 13), "en", "ab"[i % 2], 0) for i in range(60)], DOCS).cache()
+    copies, seeds = defaultdict(int), 40
+    for seed in range(seeds):
+        rows = rows_of(docs, seed=seed)
+        for r in rows:
+            copies[r["doc_id"]] += r["copies"]
+    for r in rows:
+        each = r["target"] / r["source_size"]
+        part = each % 1
+        assert abs(copies[r["doc_id"]] / seeds - each) <= 4.5 * (part * (1 - part) / seeds) ** 0.5 + 1e-9
+
+
+def test_ties_and_slots(spark, monkeypatch):
+    """Rows of one id and size keep their copies whatever the partitions; small slots change the order, not the shares."""
+    texts = [(i % 3, f"w{i} x") for i in range(200)]
+    docs = documents(spark, texts)
+    carried = lambda d: sorted((r["row"]["text"], r["copies"]) for r in mixing.mix(d, carry=d.columns).collect())
+    assert carried(docs) == carried(docs.repartition(9, "text"))
+    monkeypatch.setattr(mixing, "ROWS_A_SLOT", 1)
+    check(docs, rows_of(docs))
