@@ -49,7 +49,8 @@ def block_names(rows: DataFrame, text: Column, key: Column, block_bytes: int = B
         .withColumn("h", block_key("block"))
     )
     named = _sorted_names(blocks.groupBy("h", "block").agg(F.lit(1).alias("one")).drop("one"), "block")
-    by_key = named.groupBy("h").agg(F.count("*").alias("blocks"), F.min("name").alias("name"))
+    # one row for each distinct block; plain, so that the rows of a frequent block can be split
+    by_key = checkpoint(named.groupBy("h").agg(F.count("*").alias("blocks"), F.min("name").alias("name")))
     held = checkpoint(blocks.select("key", "n", "i", "h"))
     seq = held.join(by_key, "h").select("key", "n", "i", "name", "blocks")
     clashing = by_key.where("blocks > 1").select("h")

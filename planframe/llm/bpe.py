@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, mix, utf8
+from .common import KEPT, free_names, mix, tidy, utf8
 from .pretokens import splitter
 
 #: The memo starts anew beyond so many entries, or so many bytes of pre-tokens and ids.
-MEMO_ENTRIES, MEMO_BYTES = 500_000, 1 << 26
+MEMO_ENTRIES, MEMO_BYTES = 200_000, 1 << 25
 _U = np.uint64
 
 
@@ -237,6 +237,7 @@ class Codec:
 
 
 _codecs: dict[tuple, Codec] = {}
+KEPT[__name__] = _codecs.clear
 
 
 @cache
@@ -268,7 +269,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", kee
     (text,) = free_names(docs.select(*keep), "text")
     chosen = docs.select(*keep, F.col(text_col).alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(work, f"{schema}, n_tokens long, token_ids binary")
+    return chosen.mapInArrow(tidy(work), f"{schema}, n_tokens long, token_ids binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -295,4 +296,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return chosen.mapInArrow(tidy(work), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,9 +7,11 @@ not the batch.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -25,7 +27,7 @@ _BASE = _U(0x9E3779B97F4A7C15 | 1)
 def arrow_limits(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows: texts can be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -61,6 +63,37 @@ def stable(df: DataFrame) -> DataFrame:
     return df if nodes <= {"Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "RelationV"} and not re.search(r"\b(rand|randn|uuid|shuffle|monotonically_increasing_id)\(", plan) else checkpoint(df)
 
 
+#: What a worker keeps between the tasks of one operator: how to let go of it, by module.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def tidy(work):
+    """``work`` for ``mapInArrow`` that lets go of what other operators kept, and gives what it has freed back to the system at its end.
+
+    Workers outlive their tasks, and idle ones hold on to memory that others need.
+    """
+    owner = work.__module__
+
+    def run(batches):
+        for module, let_go in KEPT.items():
+            if module != owner:
+                let_go()
+        try:
+            yield from work(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which has its own ways
+        pass
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like the wanted ones that ``df`` doesn't have, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -259,7 +292,7 @@ class Bloom:
             if now is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([own.tobytes()])], ["bucket", "blob"])
 
-        blocks = df.mapInArrow(words, PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, PACKED).toArrow()
+        blocks = df.mapInArrow(tidy(words), PACKED).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(merged), PACKED).toArrow()
         out = np.zeros(max(1 << (bits - 6), 1 << 12), np.uint64)
         for batch in blocks.to_batches():
             for block, own in unpacked(batch, np.dtype("<u8")):

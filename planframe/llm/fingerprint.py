@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, shingles
+from .common import Words, chunks, shingles, tidy
 
 BINS = 512
 BITS = 8
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maker.pack(*maker.codes(batch.column(1))), pa.string())], ["doc_id", "fingerprint"])
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(work, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return chosen.mapInArrow(tidy(work), f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 #: Documents of a range of ids, and ranges at most (their bounds go to every task).
@@ -204,4 +204,4 @@ def edited_likeness(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             text, where, guest, ident, codes, some = text[-1:], where[-1:], guest[-1:], ident[-1:], codes[-1:], some[-1:]
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return beside_next(docs, id_col, text_col).mapInArrow(work, schema)
+    return beside_next(docs, id_col, text_col).mapInArrow(tidy(work), schema)

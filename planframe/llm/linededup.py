@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Words, checkpoint, chunks, distinct_sets, free_names, mix, segment_sum, stable, utf8, with_filter
+from .common import Bloom, Words, checkpoint, chunks, distinct_sets, free_names, mix, segment_sum, stable, tidy, utf8, with_filter
 from .rarity import PACKED, Order, Tally, counted, heavy, packed, unpacked
 
 PERCENT = 80
@@ -106,7 +106,7 @@ def _read(rows: DataFrame, least: int, percent: int) -> DataFrame:
                 yield from tallies(tally.add(lines.h[_fresh(lines, joined, seen)[lines.owner]]))
         yield from tallies(tally.flush())
 
-    return checkpoint(rows.mapInArrow(work, f"row long, doc_id {kind.simpleString()}, line int, sid long, {PACKED}"))
+    return checkpoint(rows.mapInArrow(tidy(work), f"row long, doc_id {kind.simpleString()}, line int, sid long, {PACKED}"))
 
 
 def _entries(rows: DataFrame, least: int, percent: int, order: Order, shared: Bloom, buckets: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _entries(rows: DataFrame, least: int, percent: int, order: Order, shared: Bl
         if size:
             yield from flush()
 
-    return rows.select("text").mapInArrow(work, PACKED)
+    return rows.select("text").mapInArrow(tidy(work), PACKED)
 
 
 def _word_sets(rows: DataFrame, least: int, wanted: Bloom) -> DataFrame:
@@ -183,7 +183,7 @@ def _word_sets(rows: DataFrame, least: int, wanted: Bloom) -> DataFrame:
                 words = pa.ListArray.from_arrays(pa.array(ends), pa.array(lines.h[chosen[lines.owner]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(lines.sid[at]), words], ["sid", "words"])
 
-    return rows.select("text").mapInArrow(work, "sid long, words array<long>").dropDuplicates(["sid"])
+    return rows.select("text").mapInArrow(tidy(work), "sid long, words array<long>").dropDuplicates(["sid"])
 
 
 def _may_match(x: str, y: str, percent: int):
@@ -285,7 +285,7 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
             yield from lists(True)
 
     dealt = entries.repartition("bucket").sortWithinPartitions("bucket")
-    return checkpoint(dealt.mapInArrow(work, "token long, sid long, n int, pos int, b1 long, b2 long, other long"))
+    return checkpoint(dealt.mapInArrow(tidy(work), "token long, sid long, n int, pos int, b1 long, b2 long, other long"))
 
 
 def _by_token_and_size(c: np.ndarray) -> np.ndarray:
@@ -337,7 +337,7 @@ def repeated_lines(rows: DataFrame, percent: int = PERCENT, least_words: int = L
     firsts = checkpoint(classes.select("sid", "first").join(compared, "sid", "left_semi"))
     # long lists: each class with the earliest one that it meets most often
     lists = checkpoint(lists.join(firsts, "sid"))
-    earliest = lists.groupBy("token").agg(F.min(F.struct("first", "sid", "n", "pos", "b1", "b2")).alias("x"))
+    earliest = checkpoint(lists.groupBy("token").agg(F.min(F.struct("first", "sid", "n", "pos", "b1", "b2")).alias("x")))  # one row for each list; plain, so that a long list can be split
     stars = checkpoint(
         lists.alias("y")
         .join(earliest.select("token", "x.*").alias("x"), "token")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Words, checkpoint, chunks, components, distinct_sets, mix, segment_sum, shingles, stable
+from .common import Bloom, Words, checkpoint, chunks, components, distinct_sets, mix, segment_sum, shingles, stable, tidy
 from .rarity import PACKED, Order, Tally, counted, heavy
 
 WIDTH = 4
@@ -190,7 +190,7 @@ def _counts(docs: DataFrame, width: int, percent: int, order: Order | None, leas
                 yield from tally.add(h)
         yield from tally.flush()
 
-    return counted(docs.select("text").mapInArrow(work, PACKED))
+    return counted(docs.select("text").mapInArrow(tidy(work), PACKED))
 
 
 def _entries(docs: DataFrame, width: int, percent: int, order: Order, shared: Bloom, small: int, least_n: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _entries(docs: DataFrame, width: int, percent: int, order: Order, shared: Bl
                     ["token", "size", "sid", "n", "pos", "prev"],
                 )
 
-    return docs.select("text").mapInArrow(work, "token long, size int, sid long, n int, pos int, prev long")
+    return docs.select("text").mapInArrow(tidy(work), "token long, size int, sid long, n int, pos int, prev long")
 
 
 def _stars(entries: DataFrame, percent: int, small: int) -> DataFrame:
@@ -264,7 +264,7 @@ def _stars(entries: DataFrame, percent: int, small: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(size[ok] > 0)], ["a", "b", "sure"])
 
     dealt = entries.drop("prev").repartition("token").sortWithinPartitions("token", "size", "n", "sid")
-    return dealt.mapInArrow(work, "a long, b long, sure boolean")
+    return dealt.mapInArrow(tidy(work), "a long, b long, sure boolean")
 
 
 def _sets(docs: DataFrame, width: int, wanted: Bloom) -> DataFrame:
@@ -285,7 +285,7 @@ def _sets(docs: DataFrame, width: int, wanted: Bloom) -> DataFrame:
                 shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(s.h[chosen[s.doc]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(s.sid[at]), shingles], ["sid", "shingles"])
 
-    return docs.select("text").mapInArrow(work, "sid long, shingles array<long>").dropDuplicates(["sid"])
+    return docs.select("text").mapInArrow(tidy(work), "sid long, shingles array<long>").dropDuplicates(["sid"])
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -318,7 +318,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             ok = np.array([_link(x[x_at[i] : x_at[i + 1]], y[y_at[i] : y_at[i + 1]], percent) for i in range(len(batch))], bool)
             yield batch.select([0, 1]).filter(pa.array(ok))
 
-    return checkpoint(both.mapInArrow(work, "a long, b long"))
+    return checkpoint(both.mapInArrow(tidy(work), "a long, b long"))
 
 
 def _groups(batches):
@@ -429,7 +429,7 @@ def _candidates(entries: DataFrame, comp: DataFrame, sketches: DataFrame, percen
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return checkpoint(_dealt(met, "lv", *_PARITY).mapInArrow(work, "a long, b long"))
+    return checkpoint(_dealt(met, "lv", *_PARITY).mapInArrow(tidy(work), "a long, b long"))
 
 
 def _bridges(candidates: DataFrame, comp: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -465,7 +465,7 @@ def _bridges(candidates: DataFrame, comp: DataFrame, docs: DataFrame, width: int
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return checkpoint(_dealt(met, "shingles").mapInArrow(work, "a long, b long"))
+    return checkpoint(_dealt(met, "shingles").mapInArrow(tidy(work), "a long, b long"))
 
 
 def ngram_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -496,7 +496,7 @@ def ngram_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "sid", "lv", *_PARITY])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    known = checkpoint(rows.mapInArrow(facts, f"row long, doc_id {kind}, n long, sid long, lv int, {', '.join(f'{s} long' for s in _PARITY)}"))
+    known = checkpoint(rows.mapInArrow(tidy(facts), f"row long, doc_id {kind}, n long, sid long, lv int, {', '.join(f'{s} long' for s in _PARITY)}"))
     sketches = known.where("n > 0").groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "lv", *_PARITY)])
     known = known.drop("lv", *_PARITY)
     sizes = {r["n"]: r["c"] for r in known.where(F.col("n").between(1, MOST_SMALL)).groupBy("n").agg(F.count_distinct("sid").alias("c")).collect()}

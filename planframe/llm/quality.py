@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpoint, chunks, fit_logistic
+from .common import Words, checkpoint, chunks, fit_logistic, tidy
 from .shrink import posterior_mean, strength
 from .toxicity import fold
 
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             x = pa.FixedSizeListArray.from_arrays(pa.array(shapes.ravel()), N_SHAPE).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), x, own], ["id", "y", "x", "buckets"])
 
-    got = rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>, buckets array<int>").toPandas().sort_values("id")
+    got = rows.mapInArrow(tidy(work), f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>, buckets array<int>").toPandas().sort_values("id")
     if got["y"].nunique() < 2:
         return model
     fit(model, np.stack(got["x"].to_numpy()), [np.asarray(b, np.int32) for b in got["buckets"]], got["y"].to_numpy(), np.array([true[0], true[1]]))
@@ -199,7 +199,7 @@ def classify(
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.struct(F.col(host_col).alias("h")).alias("h"), F.struct(F.col(host_col).alias("h"), F.col(path_col).alias("p")).alias("p"), F.col(text_col).alias("text"))
     # sites go by the text of their names, in which null differs from any name
     chosen = chosen.select("doc_id", F.to_json("h").alias("host"), F.to_json("p").alias("path"), "text")
-    scored = chosen.mapInArrow(work, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, host string, path string, evidence double")
+    scored = chosen.mapInArrow(tidy(work), f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, host string, path string, evidence double")
     known = outcomes(labels, id_col, label_col)
     own = checkpoint(scored.join(known, scored["doc_id"] == known["id"], "left").drop("id"))
     paths = own.groupBy("host", "path").agg(F.count("y").cast("double").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).cast("double").alias("k"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, tidy
 
 #: Tokens of the exact table at most; it is sent to every task (16 bytes each).
 MOST_HEAVY = 1 << 18
@@ -31,7 +31,8 @@ HELD = 1 << 20
 BUCKETS = 1 << 12
 PACKED = "bucket int, blob binary"
 _U = np.uint64
-_PART = 1 << 24
+#: Records that are packed at once, and bytes of a batch of them (one bucket at least).
+_PART, _BATCH = 1 << 24, 1 << 22
 #: A task's count of a token is below 2**32; sums have 64 bits.
 _COUNT = np.dtype([("token", "<i8"), ("n", "<u4")])
 _SUM = np.dtype([("token", "<i8"), ("n", "<i8")])
@@ -46,7 +47,10 @@ def packed(records: np.ndarray, bucket: np.ndarray):
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         ends = (np.append(first, len(own)) * own.itemsize).astype(np.int32)
         blobs = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(own.tobytes())])
-        yield pa.RecordBatch.from_arrays([pa.array(of[first].astype(np.int32)), blobs], ["bucket", "blob"])
+        batch = pa.RecordBatch.from_arrays([pa.array(of[first].astype(np.int32)), blobs], ["bucket", "blob"])
+        rows = max(1, len(first) * _BATCH // own.nbytes)
+        for k in range(0, len(first), rows):
+            yield batch.slice(k, rows)
 
 
 def unpacked(batch: pa.RecordBatch, kind: np.dtype):
@@ -107,7 +111,7 @@ def tallied(tallies: DataFrame) -> DataFrame:
         if held:
             yield batch_of(summed(2))
 
-    return tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "token long, df long")
+    return tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(work), "token long, df long")
 
 
 class Order:

@@ -133,4 +133,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, tex
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(work, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return chosen.mapInArrow(tidy(work), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

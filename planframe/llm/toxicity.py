@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, fit_logistic
+from .common import Words, chunks, fit_logistic, tidy
 
 FIT_ROWS = 10_000
 BUCKETS = 1 << 20
@@ -108,7 +108,7 @@ def letter_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             part = at[i : i + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["gram", "n"])
 
-    rows = docs.select(text_col).mapInArrow(work, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select(text_col).mapInArrow(tidy(work), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(LETTERS**4, np.int64)
     out[rows.column("gram").to_numpy()] = rows.column("n").to_numpy()
     return out.reshape((LETTERS,) * 4)
@@ -132,7 +132,7 @@ def _options(run: str) -> list[tuple[str, float, list[int]]]:
 class Restorer:
     """Viterbi decoding of a disguised word under the character language model."""
 
-    MEMO_ENTRIES, MEMO_LONGEST = 200_000, 256
+    MEMO_ENTRIES, MEMO_LONGEST = 100_000, 256
 
     def __init__(self, counts: np.ndarray):
         # each order is smoothed towards the next shorter one
@@ -454,7 +454,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             part = at[i : i + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[0][part]), pa.array(seen[1][part])], ["bucket", "clean", "toxic"])
 
-    got = weigh.mapInArrow(count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    got = weigh.mapInArrow(tidy(count), "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket, clean, toxic = (got.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
     all_clean, all_toxic = max(1, clean[bucket == -1].sum()), max(1, toxic[bucket == -1].sum())
     at = bucket >= 0
@@ -468,7 +468,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("part"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["id", "y", "part", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = (rows if empty else rows.where("part = 1")).mapInArrow(describe, f"id {kind}, y int, part int, x array<double>").toPandas().sort_values("id")
+    got = (rows if empty else rows.where("part = 1")).mapInArrow(tidy(describe), f"id {kind}, y int, part int, x array<double>").toPandas().sort_values("id")
     if got["y"].nunique() < 2:  # labelled rows without their documents
         model.coef[-1] = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return model
@@ -496,4 +496,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", reject: float |
             yield out if reject is None else out.filter(pa.array(s < reject))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(work, f"{fields}, score double")
+    return docs.mapInArrow(tidy(work), f"{fields}, score double")
