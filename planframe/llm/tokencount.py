@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, tidy
 from .pretokens import splitter
 
 #: The memo starts anew beyond so many entries, or so many characters of pre-tokens not proven whole.
@@ -106,6 +107,7 @@ class Counter:
 
 
 _counters: dict[tuple, Counter] = {}
+KEPT[__name__] = _counters.clear
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
