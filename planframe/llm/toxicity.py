@@ -56,11 +56,13 @@ SEPARATORS = ".-_*"
 #: Characters of the language model: boundary, a-z, any other letter, anything else.
 LETTERS = 29
 _OTHER_LETTER, _OTHER = 27, 28
+_STATES = LETTERS**3
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[0x20, *range(9, 14)]] = 0
 _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = _OTHER_LETTER
+_CLASS_BYTES = _CLASS.tobytes()
 
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -79,6 +81,8 @@ _BETWEEN[128:] = False
 _FIRM = np.ones(256, bool)
 _FIRM[[0x20, *range(9, 14), *map(ord, SEPARATORS)]] = False
 _RUN = re.compile(r"[ \t-\r.\-_*]+|(.)\1*", re.S)
+#: The runs with more than one way to read them: gaps, leet characters, repeated ones.
+_CHOICE = re.compile(r"[ \t-\r.\-_*]+|([" + re.escape("".join(LEET)) + r"])\1*|(.)\2+", re.S)
 #: Characters of a short piece, gaps of a long run, and log weights of a gap that stays and one that goes.
 SHORT = 4
 LONG_RUN = 24
@@ -171,31 +175,29 @@ class Restorer:
         if self._flat is None:
             self._flat = self.logp.ravel().tolist()
         logp = self._flat
+        word = word.lower()
+        kinds = word.encode().translate(_CLASS_BYTES) if word.isascii() else [self._class(c) for c in word]
         # best way to each state (the last three characters, as one number): weight, way back
         states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
-        for run in _RUN.finditer(word.lower()):
+        at = 0
+        for run in _CHOICE.finditer(word):
+            if run.start() > at:
+                states = self._say(logp, states, kinds[at : run.start()], word[at : run.start()])
+            at = run.end()
             after: dict[int, tuple[float, tuple | None]] = {}
             options = _options(run[0])
-            if len(options) == 1 and len(options[0][2]) == 1:  # most characters
-                text, w, (k,) = options[0]
-                for state, (weight, way) in states.items():
-                    s = state * LETTERS + k
-                    total = weight + w + logp[s]
-                    s %= LETTERS**3
-                    if s not in after or total > after[s][0]:
-                        after[s] = (total, (text, way))
-                states = after
-                continue
             for state, (weight, way) in states.items():
                 for text, w, classes in options:
                     s, total = state, weight + w
                     for k in classes:
                         s = s * LETTERS + k
                         total += logp[s]
-                        s %= LETTERS**3
+                        s %= _STATES
                     if s not in after or total > after[s][0]:
                         after[s] = (total, (text, way))
             states = after
+        if at < len(word):
+            states = self._say(logp, states, kinds[at:], word[at:])
         _, way = max((weight + logp[s * LETTERS], way) for s, (weight, way) in states.items())
         parts = []
         while way is not None:
@@ -203,6 +205,30 @@ class Restorer:
             way = way[1]
         return "".join(reversed(parts))
 
+    @staticmethod
+    def _say(logp: list[float], states: dict, kinds, text: str) -> dict:
+        """The states after characters that stand for themselves only; three of them leave one state."""
+        i = 0
+        while len(states) > 1 and i < len(kinds):
+            k = kinds[i]
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for state, (weight, way) in states.items():
+                s = state * LETTERS + k
+                weight += logp[s]
+                s %= _STATES
+                if s not in after or weight > after[s][0]:
+                    after[s] = (weight, way)
+            states = after
+            i += 1
+        if i == len(kinds):
+            return {s: (weight, (text, way)) for s, (weight, way) in states.items()}
+        ((s, (weight, way)),) = states.items()
+        for k in kinds[i:]:
+            s = s * LETTERS + k
+            weight += logp[s]
+            s %= _STATES
+        return {s: (weight, (text, way))}
+
     @staticmethod
     def _marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bytes where a character begins that makes its word one to decode, by what comes after it.
@@ -230,14 +256,15 @@ class Restorer:
 
     def undisguise(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, str]]]:
         """The chunk with disguised words blanked, and (row, restored text) for each of them."""
-        spans, marks = [], self._marks(data, offsets)
+        spans, marks, whole = [], self._marks(data, offsets), data.tobytes()
         for row, s, e in zip(*self._spans(data, offsets, marks), strict=True):
-            raw = data[s:e].tobytes().decode("utf-8", "replace").lower()
+            raw = whole[s:e].decode("utf-8", "replace").lower()
             if (new := self.restore(raw)) != raw:
                 spans.append((row, s, e, new))
         restored = [(row, new) for row, _, _, new in spans]
         if spans:
             data = self._blanked(data, np.array([s for _, s, _, _ in spans]), np.array([e for _, _, e, _ in spans]))
+            whole = data.tobytes()
         words = Words(data, offsets)
         if not len(words.start):
             return data, restored
@@ -246,8 +273,9 @@ class Restorer:
         alone = np.flatnonzero(marks[words.end] > marks[words.start])
         _, once, of = np.unique(words.hash[alone], return_index=True, return_inverse=True)
         found = []
-        for i in alone[once].tolist():
-            raw = data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace").lower().strip(_AROUND)
+        first = alone[once]
+        for s, e in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True):
+            raw = whole[s:e].decode("utf-8", "replace").lower().strip(_AROUND)
             new = self.restore(raw)
             found.append(new if new != raw else None)
         changed = np.array([w is not None for w in found], bool)[of] if found else np.zeros(0, bool)
