@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bloom, Words, checkpoint, chunks, distinct_sets, free_names, mix, segment_sum, stable, tidy, utf8, with_filter
-from .rarity import PACKED, Order, Tally, counted, heavy, packed, unpacked
+from .rarity import PACKED, Order, Tally, counted, heavy, packed
 
 PERCENT = 80
 LEAST_WORDS = 1
@@ -40,6 +40,8 @@ SHORT_LIST, MOST_PAIRS = 512, 8
 #: Entries that a task holds before it hands them out, and those of a bucket on average.
 HELD, BUCKET = 1 << 19, 1 << 16
 _ENTRY = np.dtype([("token", "<i8"), ("sid", "<i8"), ("b1", "<i8"), ("b2", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+#: What is shuffled of lines of fewer than 256 words.
+_NARROW = np.dtype([*_ENTRY.descr[:4], ("n", "u1"), ("pos", "u1")])
 _U = np.uint64
 
 
@@ -109,8 +111,15 @@ def _read(rows: DataFrame, least: int, percent: int) -> DataFrame:
     return checkpoint(rows.mapInArrow(tidy(work), f"row long, doc_id {kind.simpleString()}, line int, sid long, {PACKED}"))
 
 
+def _as(kind: np.dtype, records: np.ndarray) -> np.ndarray:
+    out = np.empty(len(records), kind)
+    for name in kind.names:
+        out[name] = records[name]
+    return out
+
+
 def _entries(rows: DataFrame, least: int, percent: int, order: Order, shared: Bloom, buckets: int) -> DataFrame:
-    """Packed list entries (token, sid, b1, b2, n, pos) of every distinct line.
+    """Packed list entries (token, sid, b1, b2, n, pos) of every distinct line, of bucket b under 2b (narrow) or 2b + 1.
 
     ``pos``: no word before this place of the order is shared, but for the first of two.
     """
@@ -122,7 +131,11 @@ def _entries(rows: DataFrame, least: int, percent: int, order: Order, shared: Bl
 
         def flush():
             records = np.concatenate(held)
-            return packed(records, (((records["token"].view(np.uint64) >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int32))
+            bucket = (((records["token"].view(np.uint64) >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int32)
+            wide = records["n"] > 0xFF
+            for kind, own in ((_NARROW, ~wide), (_ENTRY, wide)):
+                if own.any():
+                    yield from packed(_as(kind, records[own]), 2 * bucket[own] + (kind is _ENTRY))
 
         for batch in batches:
             for _, data, offsets in chunks(batch.column(0)):
@@ -195,18 +208,25 @@ def _may_match(x: str, y: str, percent: int):
     return (100 * most >= percent * (n + m - most)) & (100 * (n + m - differ) >= percent * (n + m + differ))
 
 
+def _unpacked(batch: pa.RecordBatch):
+    for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        yield bucket >> 1, _as(_ENTRY, np.frombuffer(blob.as_buffer(), _ENTRY if bucket & 1 else _NARROW))
+
+
 def _meet(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of short lists that may match, and the entries of long lists.
 
-    Rows (token, sid, n, pos, b1, b2, other): ``other`` is the second class of a pair, and
-    null in an entry of a long list. A task holds one bucket of lists, without those that
+    Rows (token, sid, n, pos, b1, b2, other): ``other`` is the second class of a pair, which
+    has ``sid`` only beside it, and null in an entry of a long list. A task holds one bucket of lists, without those that
     have turned out to be long; of each other list at most ``SHORT_LIST`` entries.
     """
     columns = ["token", "sid", "n", "pos", "b1", "b2"]
 
     def rows(own: np.ndarray, other: np.ndarray | None = None):
-        arrays = [pa.array(np.ascontiguousarray(own[c])) for c in columns]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(other) if other is not None else pa.nulls(len(own), pa.int64())], [*columns, "other"])
+        if other is not None:
+            arrays = [pa.array(np.ascontiguousarray(own[c])) if c == "sid" else pa.nulls(len(own), pa.from_numpy_dtype(_ENTRY[c])) for c in columns]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(other)], [*columns, "other"])
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(own[c])) for c in columns), pa.nulls(len(own), pa.int64())], [*columns, "other"])
 
     def pairs(c: np.ndarray):
         """Pairs of short lists, given by token and size; entries of those with too many."""
@@ -271,7 +291,7 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
                 size = len(held[0])
 
         for batch in batches:
-            for bucket, records in unpacked(batch, _ENTRY):
+            for bucket, records in _unpacked(batch):
                 if size and bucket != now:
                     yield from lists(True)
                     limit = 8 * BUCKET
@@ -284,7 +304,7 @@ def _meet(entries: DataFrame, percent: int) -> DataFrame:
         if size:
             yield from lists(True)
 
-    dealt = entries.repartition("bucket").sortWithinPartitions("bucket")
+    dealt = entries.repartition(F.shiftright("bucket", 1)).sortWithinPartitions("bucket")
     return checkpoint(dealt.mapInArrow(tidy(work), "token long, sid long, n int, pos int, b1 long, b2 long, other long"))
 
 
