@@ -59,6 +59,13 @@ def test_long_passage_stays_once(spark):
     assert got == {1: f"{passage}\nown line of one here", 2: "a\nb", 3: "own line of three here"}
 
 
+def test_lines_on_both_sides_of_256_words_meet(spark):
+    words = [f"w{i}" for i in range(330)]
+    texts = [(i, " ".join(words[:n]) + f"\nown line {i}") for i, n in enumerate((250, 262, 330, 200, 255, 256))]
+    got = {r["doc_id"]: r["n_removed"] for r in check(documents(spark, texts), texts)}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1, 5: 1}
+
+
 def test_hot_line(spark):
     texts = [(i, f"all rights reserved by us\nline {i} has its own words a{i} b{i} c{i} d{i} e{i}") for i in range(120)]
     got = check(documents(spark, texts), texts)
