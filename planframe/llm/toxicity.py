@@ -151,6 +151,10 @@ class Restorer:
     def __getstate__(self):
         return {"logp": self.logp, "memo": {}, "_flat": None}
 
+    def let_go(self) -> None:
+        """Give up what can be made again."""
+        self.memo, self._flat = {}, None
+
     @staticmethod
     def lattice(word: str) -> list[list[tuple[str, float]]]:
         """For each run of equal characters, and each gap: the strings that it may stand for, with log weights."""
@@ -167,13 +171,17 @@ class Restorer:
             if len(self.memo) >= self.MEMO_ENTRIES:
                 self.memo.clear()
             found = self._search(word)
+            if found == word:  # most are: kept once
+                found = word
             if len(word) <= self.MEMO_LONGEST:
                 self.memo[word] = found
         return found
 
     def _search(self, word: str) -> str:
         if self._flat is None:
-            self._flat = self.logp.ravel().tolist()
+            # runs of three that never occur share their values, and so their numbers
+            value, at = np.unique(self.logp, return_inverse=True)
+            self._flat = value.astype(object)[at.ravel()].tolist()
         logp = self._flat
         word = word.lower()
         kinds = word.encode().translate(_CLASS_BYTES) if word.isascii() else [self._class(c) for c in word]
@@ -423,6 +431,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+def _ending(work, restorer: Restorer):
+    """``tidy(work)``, at whose end the restorer lets go first.
+
+    A worker frees what its task held after the task only, too late to be given back: idle
+    workers would hold on to it.
+    """
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            restorer.let_go()
+
+    return tidy(run)
+
+
 def fold(id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out."""
     return F.crc32(id.cast("string").cast("binary")) % 5
@@ -482,7 +506,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             part = at[i : i + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[0][part]), pa.array(seen[1][part])], ["bucket", "clean", "toxic"])
 
-    got = weigh.mapInArrow(tidy(count), "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    got = weigh.mapInArrow(_ending(count, restorer), "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     bucket, clean, toxic = (got.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
     all_clean, all_toxic = max(1, clean[bucket == -1].sum()), max(1, toxic[bucket == -1].sum())
     at = bucket >= 0
@@ -496,7 +520,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("part"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["id", "y", "part", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = (rows if empty else rows.where("part = 1")).mapInArrow(tidy(describe), f"id {kind}, y int, part int, x array<double>").toPandas().sort_values("id")
+    got = (rows if empty else rows.where("part = 1")).mapInArrow(_ending(describe, restorer), f"id {kind}, y int, part int, x array<double>").toPandas().sort_values("id")
     if got["y"].nunique() < 2:  # labelled rows without their documents
         model.coef[-1] = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return model
@@ -524,4 +548,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", reject: float |
             yield out if reject is None else out.filter(pa.array(s < reject))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(tidy(work), f"{fields}, score double")
+    return docs.mapInArrow(_ending(work, model.restorer), f"{fields}, score double")

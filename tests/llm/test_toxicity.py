@@ -177,3 +177,15 @@ def test_on_the_test_tables(spark):
     docs, table = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     got = toxicity.score(docs, toxicity.train(docs, table)).join(table, "doc_id").where(toxicity.fold(F.col("doc_id")) == 0).toPandas()
     assert ((got["score"] >= 0.5) == (got["toxic"] == 1)).mean() > 0.9
+
+
+def test_a_task_lets_go_of_its_memo(trained, monkeypatch):
+    """Before its end, when memory is given back; what goes later stays with an idle worker."""
+    docs, _, model = trained
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, work, schema: work)
+    work, held = toxicity.score(docs, model), []
+    table = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": "a st00pid m0ron", "lang": "en", "source": "s", "n_chars": 15}])
+    monkeypatch.setattr("planframe.llm.common.release_memory", lambda: held.append((len(model.restorer.memo), model.restorer._flat)))
+    for _ in work(iter([table])):
+        assert model.restorer.memo
+    assert held == [(0, None)]
