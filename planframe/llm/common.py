@@ -160,7 +160,8 @@ class Words:
         turns = np.flatnonzero(solid[1:] != solid[:-1])
         self.start, self.end = turns[::2], turns[1::2]
         # a row's end within a run of solid bytes ends a word and begins the next
-        at = np.unique(offsets[(offsets > 0) & (offsets < n)])
+        at = offsets[1:-1]
+        at = at[(at > offsets[:-2]) & (at < n)]
         at = at[solid[at] & solid[at + 1]]
         if len(at):
             self.start = np.insert(self.start, np.searchsorted(self.start, at), at)

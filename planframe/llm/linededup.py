@@ -24,10 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Words, checkpoint, chunks, distinct_sets, free_names, mix, segment_sum, stable, tidy, utf8, with_filter
+from .common import Bloom, Words, checkpoint, chunks, distinct_sets, free_names, mix, segment_sum, stable, tidy, with_filter
 from .rarity import PACKED, Order, Tally, counted, heavy, packed
 
 PERCENT = 80
@@ -49,8 +50,10 @@ class Lines:
     """Word sets of the lines of a chunk; ``row`` of the chunk and ``line`` within it."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
-        starts = starts[starts < len(data)]
+        begins = np.zeros(len(data) + 1, bool)
+        begins[1:] = data == 10
+        begins[offsets] = True
+        starts = np.flatnonzero(begins[:-1])
         self.row = np.searchsorted(offsets, starts, "right") - 1
         first = np.searchsorted(self.row, self.row)
         self.line = np.arange(len(starts)) - first
@@ -72,11 +75,11 @@ def _fresh(lines: Lines, least: int, seen: set[int], bound: int = 1 << 20) -> np
     if len(seen) > bound:
         seen.clear()
     keep = np.zeros(len(lines.n), bool)
-    sid = lines.sid.tolist()
-    for i in np.flatnonzero(lines.n >= least).tolist():
-        if sid[i] not in seen:
-            seen.add(sid[i])
-            keep[i] = True
+    at = np.flatnonzero(lines.n >= least)
+    own = dict(zip(reversed(lines.sid[at].tolist()), reversed(at.tolist()), strict=True))  # the first line of each set
+    fresh = [sid for sid in own if sid not in seen]
+    keep[[own[sid] for sid in fresh]] = True
+    seen.update(fresh)
     return keep
 
 
@@ -436,18 +439,30 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def _without(text: pa.Array, lines: pa.Array) -> pa.Array:
     """The texts without their lines of the numbers given; null lists take nothing away."""
-    data, offsets = utf8(text)
-    out, at = [], [0]
-    for i, gone in enumerate(lines):
-        own = data[offsets[i] : offsets[i + 1]]
-        if gone.is_valid and text[i].is_valid:
-            # a line goes with the line feed after it, and the last one that stays loses its own
-            ends = np.append(np.flatnonzero(own == 10) + 1, len(own) + 1)
-            stays = np.ones(len(ends), bool)
-            stays[gone.values.to_numpy()] = False
-            own = np.append(own, np.uint8(10))[np.repeat(stays, np.diff(ends, prepend=0))][:-1]
-        out.append(own)
-        at.append(at[-1] + len(own))
+    rows, numbers = pc.list_parent_indices(lines).to_numpy(), pc.list_flatten(lines).to_numpy()
+    if text.null_count:
+        there = text.is_valid().to_numpy(zero_copy_only=False)[rows]
+        rows, numbers = rows[there], numbers[there]
+    out, sizes = [], []
+    for begin, data, offsets in chunks(text):
+        n = len(offsets) - 1
+        # each row with a line feed of its own at its end, so that each line has one
+        data = np.insert(data, offsets[1:], np.uint8(10))
+        ends = np.flatnonzero(data == 10) + 1
+        first = np.searchsorted(ends, offsets + np.arange(n + 1), "right")
+        own = slice(*np.searchsorted(rows, [begin, begin + n]))
+        stays = np.ones(len(ends), bool)
+        stays[first[rows[own] - begin] + numbers[own]] = False
+        size = np.diff(ends, prepend=0)
+        keep = np.repeat(stays, size)
+        # a line goes with the line feed after it, and the last one that stays loses its own
+        left = np.flatnonzero(stays)
+        row = np.searchsorted(first, left, "right") - 1
+        keep[ends[left[np.append(row[1:] != row[:-1], True)[: len(left)]]] - 1] = False
+        total = np.concatenate([[0], np.cumsum(np.where(stays, size, 0))])[first]
+        out.append(data[keep])
+        sizes.append(np.maximum(np.diff(total) - 1, 0))
     whole = np.concatenate(out) if out else np.zeros(0, np.uint8)
+    at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else [0]
     texts = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(np.array(at, np.int64)), pa.py_buffer(whole))
     return texts.cast(pa.string()) if text.null_count == 0 else pa.array([t if v.is_valid else None for t, v in zip(texts.to_pylist(), text, strict=True)], pa.string())

@@ -149,3 +149,13 @@ def test_more_lines_than_24_bits_count(spark):
     texts = [(1, "\n" * 17_000_000 + "a b c d e f"), (2, "f e d c b a\nown words")]
     got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(documents(spark, texts)).where("doc_id = 2").collect()}
     assert got == {2: "own words"}
+
+
+def test_cutting_takes_a_chunk_at_once(monkeypatch):
+    rng, calls, once = random.Random(5), [], linededup.np.flatnonzero
+    monkeypatch.setattr(linededup.np, "flatnonzero", lambda x: calls.append(1) or once(x))
+    texts = [rng.choice([None, "", "\n", "\n\n", "é\nb", *["\n".join(rng.choice(["", "a b", "ü", "long " * 9]) for _ in range(rng.randint(1, 6)))] * 9]) for _ in range(4000)]
+    gone = [rng.choice([None, [i for i in range(len((t or "").split("\n"))) if rng.random() < 0.5]]) for t in texts]
+    got = linededup._without(pa.array(texts)[7:], pa.array(gone, pa.list_(pa.int32()))[7:]).to_pylist()
+    assert got == [t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in (g or [])) for t, g in zip(texts[7:], gone[7:], strict=True)]
+    assert len(calls) < 100
